@@ -208,19 +208,26 @@ def _long(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     ).select("_f.feature", "_f.x", "y")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation, null when a side is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Pearson and Spearman of each feature with the label; 0 for constant or short ones."""
     rows = materialize(_long(df, features, target).filter("x IS NOT NULL"))
     ranked = group_ranks(rows, "x", ["feature"], {"rx": "avg"}, wide=True)
     # A binary label's average ranks are a linear map of it, so ranking x is enough.
     one = ranked.groupBy("feature").agg(
-        F.corr("x", "y").alias("p"),
-        F.corr("rx", "y").alias("s"),
+        _corr("x", "y").alias("p"),
+        _corr("rx", "y").alias("s"),
         F.count(F.lit(1)).alias("n"),
         (F.min("x") == F.max("x")).alias("flat"),
     )
     usable = (F.col("n") >= 3) & ~F.col("flat")
-    value = lambda c: F.when(usable, F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    value = lambda c: F.when(usable, F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.lit(0.0))
     return one.select(
         "feature",
         value("p").alias("pearson"),
@@ -299,7 +306,7 @@ def feature_pairs(df: DataFrame, features: Sequence[str], at_least: float = 0.85
 
 def _pair(a: str, b: str) -> Column:
     return F.struct(
-        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(F.corr(a, b)).alias("abs_spearman")
+        F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.abs(_corr(a, b)).alias("abs_spearman")
     )
 
 

@@ -158,7 +158,7 @@ def group_ranks(
     best, largest first), ``max_pct`` (share of rows at or below) or ``avg_pct``
     (average rank over the group size) or ``avg`` (average rank).
     """
-    hist = value_histogram(df, value, group, wide)
+    hist = value_histogram(df.select(*group, F.col(value).alias("_q")), "_q", group, wide)
     average = F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)
     kinds = {
         "min_desc": (F.col("n_total") - F.col("n_below") - F.col("n") + 1).cast("double"),
@@ -166,7 +166,9 @@ def group_ranks(
         "avg_pct": average / F.col("n_total"),
         "avg": average,
     }
-    ranked = hist.select(*group, value, *[kinds[k].alias(out) for out, k in outputs.items()])
+    ranked = hist.select(
+        *group, F.col("_q").alias(value), *[kinds[k].alias(out) for out, k in outputs.items()]
+    )
     return _join_null_safe(df, ranked, [*group, value])
 
 
@@ -178,13 +180,14 @@ def exact_quantiles(
     wide: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group, nulls ignored."""
-    hist = value_histogram(df.filter(F.col(value).isNotNull()), value, group, wide)
+    known = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_q"))
+    hist = value_histogram(known, "_q", group, wide)
     first, last = F.col("n_below"), F.col("n_below") + F.col("n") - 1
     outs = []
     for name, q in quantiles.items():
         pos = (F.col("n_total") - 1) * F.lit(float(q))
         low, high = F.floor(pos), F.ceil(pos)
-        at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value)))
+        at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col("_q")))
         frac = F.max(pos - low)
         outs.append((at(low) + (at(high) - at(low)) * frac).cast("double").alias(name))
     return hist.groupBy(*group).agg(*outs)

@@ -69,7 +69,9 @@ def salvage_reports(files: DataFrame, text: str = "value", source: str = "path")
 
     Works per file; every ``"id": {...}`` piece inside is cut out and parsed alone.
     """
-    pieces = files.select(
+    # Everything before the alerts map (other objects included) is not a record.
+    body = F.get(F.split(F.col(text), r'"alerts"\s*:\s*\{', 2), F.lit(1))
+    pieces = files.select(source, body.alias(text)).select(
         source,
         F.explode(
             F.arrays_zip(
