@@ -98,7 +98,11 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage grid: observed zones and their ring-1 surroundings."""
+    """Coverage grid, stored as a mart: observed zones and their ring-1 surroundings."""
+    return kept(spark, sf_dir, "grid", lambda: _grid(spark, sf_dir))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spatial.observed_zones(reports(spark, sf_dir))
     fill = spatial.neighbors(seen, 1).select(F.col("neighbor_id").alias("zone_id")).union(seen).distinct()
     return spatial.coverage_grid(fill, seen)

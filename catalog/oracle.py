@@ -565,25 +565,25 @@ O["x4_cell_streak"] = cell_q("coalesce(CAST(s<cx.t AS INTEGER),0) streak_active"
 cte(
     "dx",
     """SELECT t, district, count(*) n, count(*) FILTER (ts>=t-INTERVAL 24 HOUR) n24, count(DISTINCT grid_cell) FILTER (ts>=t-INTERVAL 24 HOUR) cells,
- count(*) FILTER (hour(ts)=hour(t)) nh, greatest(1,(epoch_us(t)-epoch_us(min(ts)))//86400000000) days FROM ct JOIN ev ON ts<t GROUP BY 1,2""",
+ count(*) FILTER (hour(ts)=hour(t)) nh, greatest(1,(epoch_us(t)-epoch_us(min(ts)))//86400000000) ndays FROM ct JOIN ev ON ts<t GROUP BY 1,2""",
     "ct",
     "ev",
 )
 _DJ = "LEFT JOIN dx ON dx.t=cx.t AND dx.district=cx.district"
 O["x5_district_recent"] = cell_q("coalesce(n24,0) district_24h_count, coalesce(cells,0) district_active_cells", _DJ, "dx")
 O["x6_district_rates"] = cell_q(
-    "round(coalesce(n/CAST(days AS DOUBLE),0),6) district_historical_rate, round(coalesce(nh/CAST(days AS DOUBLE),0),6) district_hour_rate", _DJ, "dx"
+    "round(coalesce(n/CAST(ndays AS DOUBLE),0),6) district_historical_rate, round(coalesce(nh/CAST(ndays AS DOUBLE),0),6) district_hour_rate", _DJ, "dx"
 )
 cte(
     "gx",
     f"""SELECT t, count(*) FILTER (hour(ts)=hour(t)) nh, count(*) FILTER (hour(ts)=hour(t) AND {dow('ts')}={dow('t')}) ndh,
- (epoch_us(t)-epoch_us(min(ts)))//86400000000 days FROM ct JOIN ev ON ts<t GROUP BY 1""",
+ (epoch_us(t)-epoch_us(min(ts)))//86400000000 ndays FROM ct JOIN ev ON ts<t GROUP BY 1""",
     "ct",
     "ev",
 )
 O["x7_hour_rates"] = cell_q(
-    """round(coalesce(nh/CAST(greatest(1,days) AS DOUBLE),0),6) hour_historical_rate,
- round(coalesce(ndh/CAST(greatest(1,days//7) AS DOUBLE),0),6) dow_hour_rate""",
+    """round(coalesce(nh/CAST(greatest(1,ndays) AS DOUBLE),0),6) hour_historical_rate,
+ round(coalesce(ndh/CAST(greatest(1,ndays//7) AS DOUBLE),0),6) dow_hour_rate""",
     "LEFT JOIN gx ON gx.t=cx.t",
     "gx",
 )
@@ -1181,7 +1181,7 @@ O["n10_feature_pairs"] = q(
         for i, a in enumerate(_FN)
         for b in _FN[i + 1 :]
     )
-    + ") WHERE abs_spearman>=0.3",
+    + ") WHERE NOT isnan(abs_spearman) AND abs_spearman>=0.3",
     "fw",
 )
 O["n11_high_half_rate"] = q(

@@ -42,19 +42,26 @@ def two_stage(
     a_target, z_target = activity_target(horizon_minutes), zone_target(horizon_minutes)
     activity = materialize(activity_features(events, horizon_minutes, look))
     zones = materialize(zone_features(events, max(1, look // 24), horizon_minutes))
+    # Where every hour is active (or none is) there is nothing to learn for stage one:
+    # it falls back to the base rate instead of failing the whole run.
+    varied = activity.agg(F.min(a_target) < F.max(a_target)).first()[0]
     a_folds = materialize(
         models.evaluate_candidates(
             activity, a_target, models.ACTIVITY_NUMERIC, models.ACTIVITY_CATEGORICAL,
             horizon_minutes, names, n_splits, "activity",
         )
-    )
+    ) if varied else None
     z_folds = materialize(
         models.evaluate_candidates(
             zones, z_target, models.ZONE_NUMERIC, models.ZONE_CATEGORICAL,
             horizon_minutes, names, n_splits, "spatial",
         )
     )
-    a_best = metrics.select_model(models.summarize_folds(a_folds), "activity").first()["model"]
+    a_best = (
+        metrics.select_model(models.summarize_folds(a_folds), "activity").first()["model"]
+        if varied
+        else "prior"
+    )
     z_best = metrics.select_model(models.summarize_folds(z_folds), "spatial").first()["model"]
     a_pred = materialize(models.holdout_activity(activity, a_target, a_best, min_positives))
     z_pred = materialize(models.holdout_spatial(zones, z_target, z_best, a_pred, min_positives))
