@@ -241,7 +241,7 @@ def _fold(points: pd.DataFrame, state: str | None) -> tuple[list[str], str]:
 def _assign(state_by_chunk: bool):
     def run(points: pd.DataFrame, states: pd.DataFrame | None = None) -> pd.DataFrame:
         points = points.sort_values(["us", "report_id"], kind="mergesort")
-        state = states["state_in"].iloc[0] if states is not None and len(states) else None
+        state = states["_state_in"].iloc[0] if states is not None and len(states) else None
         owners, _ = _fold(points, state)
         return pd.DataFrame({"report_id": points["report_id"].to_numpy(), "cluster_id": owners})
 
@@ -252,7 +252,7 @@ def _assign(state_by_chunk: bool):
 
 def _advance(points: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
     points = points.sort_values(["us", "report_id"], kind="mergesort")
-    _, out = _fold(points, states["state_in"].iloc[0] if len(states) else None)
+    _, out = _fold(points, states["_state_in"].iloc[0] if len(states) else None)
     return pd.DataFrame(
         {"label": [points["label"].iloc[0]], "chunk": [points["chunk"].iloc[0]], "state_out": [out]}
     )
@@ -270,33 +270,44 @@ def _assign_large(points: DataFrame, chunk_rows: int) -> DataFrame:
     chunks = materialize(
         ranked.withColumn("chunk", F.floor((F.col("pos") - 1) / F.lit(chunk_rows))).drop("pos")
     )
-    keys = chunks.select("label", "chunk").distinct()
-    states = materialize(keys.withColumn("state_in", F.lit("[]")))
-    outs = None
-    pending = states
+    guesses = materialize(chunks.select("label", "chunk").distinct().withColumn("state_in", F.lit("[]")))
+    pending, outs = guesses, None
     while True:
-        todo = chunks.join(pending.select("label", "chunk"), ["label", "chunk"], "left_semi")
-        ran = todo.groupBy("label", "chunk").cogroup(pending.groupBy("label", "chunk")).applyInPandas(
-            _advance, "label string, chunk bigint, state_out string"
+        ran = materialize(
+            _with_state(chunks, pending, _advance, "label string, chunk bigint, state_out string")
         )
         if outs is not None:
-            ran = outs.join(ran.select("label", "chunk"), ["label", "chunk"], "left_anti").unionByName(
-                materialize(ran)
-            )
+            kept = outs.join(_keys(ran), [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left_anti")
+            ran = kept.unionByName(ran)
         outs = materialize(ran)
-        after = outs.select("label", (F.col("chunk") + 1).alias("chunk"), F.col("state_out").alias("real"))
-        merged = materialize(
-            states.join(after, ["label", "chunk"], "left").select(
-                "label", "chunk", "state_in", F.coalesce("real", F.lit("[]")).alias("real")
-            )
+        left_open = outs.select(
+            F.col("label").alias("_l"), (F.col("chunk") + 1).alias("_c"), F.col("state_out").alias("real")
         )
-        pending = merged.filter("state_in <> real").select("label", "chunk", F.col("real").alias("state_in"))
-        states = merged.select("label", "chunk", F.col("real").alias("state_in"))
+        compared = materialize(
+            guesses.join(
+                left_open, [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left"
+            ).select("label", "chunk", "state_in", F.coalesce("real", F.lit("[]")).alias("real"))
+        )
+        pending = compared.filter("state_in <> real").select(
+            "label", "chunk", F.col("real").alias("state_in")
+        )
+        guesses = compared.select("label", "chunk", F.col("real").alias("state_in"))
         if pending.isEmpty():
             break
-    return chunks.groupBy("label", "chunk").cogroup(states.groupBy("label", "chunk")).applyInPandas(
-        _assign(True), "report_id string, cluster_id string"
+    return _with_state(chunks, guesses, _assign(True), "report_id string, cluster_id string")
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select(F.col("label").alias("_l"), F.col("chunk").alias("_c"))
+
+
+def _with_state(chunks: DataFrame, states: DataFrame, run, schema: str) -> DataFrame:
+    """Run the chunks that have a state row, each with its state."""
+    named = states.select(*[F.col(c).alias(f"_{c}") for c in ("label", "chunk", "state_in")])
+    todo = chunks.join(
+        _keys(states), [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left_semi"
     )
+    return todo.groupBy("label", "chunk").cogroup(named.groupBy("_label", "_chunk")).applyInPandas(run, schema)
 
 
 def assign_clusters(
