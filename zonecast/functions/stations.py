@@ -1,11 +1,11 @@
-"""District reference points of the default region, as column expressions."""
+"""District reference points of the default region, as row-wise expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import math
 
-from zonecast.functions.geo import hav_term
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # District, region, latitude, longitude.
 STATIONS = (
@@ -42,22 +42,35 @@ URBAN_CORE = (
 )
 
 
-def nearest_station_index(lat: Column, lng: Column, stations=STATIONS) -> Column:
-    """Position of the nearest reference point, the first one on ties.
+def with_nearest_station(df: DataFrame, lat: str = "lat", lng: str = "lng", stations=STATIONS) -> DataFrame:
+    """Add ``district`` and ``region`` of the nearest reference point, the first on ties.
 
-    A constant list needs no join: it is one row-wise ``least`` over the points.
+    A constant list needs no join. Points are compared by the squared chord between
+    unit vectors, which orders them like the great-circle distance but needs the
+    row's sines and cosines only once.
     """
-    options = [
-        F.struct(hav_term(lat, lng, F.lit(s[2]), F.lit(s[3])).alias("h"), F.lit(i).alias("i"))
-        for i, s in enumerate(stations)
-    ]
-    best = options[0] if len(options) == 1 else F.least(*options)
-    return best.getField("i")
-
-
-def station_name(index: Column, stations=STATIONS) -> Column:
-    return F.get(F.array(*[F.lit(s[0]) for s in stations]), index)
+    phi, lam = F.radians(lat), F.radians(lng)
+    axis = lambda c: F.coalesce(c, F.lit(0.0))
+    vectors = df.withColumns(
+        {"_ux": axis(F.cos(phi) * F.cos(lam)), "_uy": axis(F.cos(phi) * F.sin(lam)), "_uz": axis(F.sin(phi))}
+    )
+    table = []
+    for i, (_, _, y, x) in enumerate(stations):
+        p, m = math.radians(y), math.radians(x)
+        parts = (math.cos(p) * math.cos(m), math.cos(p) * math.sin(m), math.sin(p))
+        table.append(F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", parts)], F.lit(i).alias("i")))
 
+    def chord(s):
+        gaps = [F.col(f"_u{c}") - s[c] for c in "xyz"]
+        return F.struct(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]).alias("d"), s["i"].alias("i"))
 
-def station_region(index: Column, stations=STATIONS) -> Column:
-    return F.get(F.array(*[F.lit(s[1]) for s in stations]), index)
+    # One lambda over a literal array keeps the expression small wherever a later
+    # filter on the district is pushed down through it.
+    known = F.col(lat).isNotNull() & F.col(lng).isNotNull()
+    placed = vectors.withColumn(
+        "_at", F.when(known, F.array_min(F.transform(F.array(*table), chord))["i"])
+    )
+    pick = lambda i: F.get(F.array(*[F.lit(s[i]) for s in stations]), F.col("_at"))
+    return placed.withColumns({"district": pick(0), "region": pick(1)}).drop(
+        "_ux", "_uy", "_uz", "_at"
+    )

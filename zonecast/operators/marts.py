@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.timecols import epoch_micros, seconds_between
+from zonecast.functions.timecols import seconds_between
 from zonecast.operators.spatial import neighbors
 from zonecast.scale import exact_quantiles
 
@@ -128,16 +126,20 @@ def zone_summary(events: DataFrame) -> DataFrame:
 
 
 def district_summary(events: DataFrame) -> DataFrame:
+    # Unnamed districts are dropped on an aggregate: a filter on the key would be
+    # pushed below the row-wise district lookup and evaluate it twice per row.
     return (
-        events.filter("district <> ''")
-        .groupBy("district", "region")
+        events.groupBy("district", "region")
         .agg(
+            F.max("district").alias("_name"),
             F.count(F.lit(1)).alias("events"),
             F.round(F.avg("total_upvotes"), 6).alias("avg_upvotes"),
             F.sum("total_upvotes").alias("total_upvotes"),
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
         )
+        .filter("_name <> ''")
+        .drop("_name")
         .orderBy(F.desc("events"), "district")
     )
 
@@ -204,11 +206,7 @@ def heatmap(reports: DataFrame) -> DataFrame:
     """Day name x hour of day, one column per hour."""
     day = F.get(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday("ts"))
     wide = (
-        reports.groupBy(day.alias("day_name"))
-        .pivot("hour", list(range(24)))
-        .agg(F.count(F.lit(1)))
-        if "hour" in reports.columns
-        else reports.withColumn("hour", F.hour("ts"))
+        reports.withColumn("hour", F.hour("ts"))
         .groupBy(day.alias("day_name"))
         .pivot("hour", list(range(24)))
         .agg(F.count(F.lit(1)))
@@ -283,11 +281,3 @@ def choose_resolution(rows: DataFrame, limit: float = 0.60) -> DataFrame:
         (-F.col("resolution")).alias("e"),
     )
     return rows.agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
-
-
-def latest_micros(df: DataFrame) -> DataFrame:
-    return df.agg(F.max(epoch_micros(F.col("ts"))).alias("micros"))
-
-
-def counts_by(events: DataFrame, by: Sequence[str]) -> DataFrame:
-    return _counts(events, *by)

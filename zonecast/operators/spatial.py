@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions import geo
-from zonecast.functions.stations import nearest_station_index, station_name, station_region
+from zonecast.functions.stations import with_nearest_station
 from zonecast.functions.timecols import local_time
 from zonecast.operators.clean import COVERAGE_BOX, MODEL_BOX, in_bbox
 from zonecast.operators.nearest import leaf_index, leaf_pairs, nearest_join
@@ -18,10 +18,7 @@ from zonecast.session import materialize
 
 def nearest_station(df: DataFrame) -> DataFrame:
     """District and region of the nearest fixed reference point."""
-    at = nearest_station_index(F.col("lat"), F.col("lng"))
-    return df.withColumn("_s", at).withColumns(
-        {"district": station_name(F.col("_s")), "region": station_region(F.col("_s"))}
-    ).drop("_s")
+    return with_nearest_station(df)
 
 
 def nearest_reference(df: DataFrame, key: str, stations: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import grid_cell, hex_axial, hex_center, hex_id
-from zonecast.functions.stations import nearest_station_index, station_name, station_region
+from zonecast.functions.stations import with_nearest_station
 
 _D = lambda v: F.lit(float(v))
 
@@ -55,19 +55,13 @@ def with_places(df: DataFrame, resolution: int = 9) -> DataFrame:
             "grid_cell": grid_cell(lat, lng),
             "_q": q,
             "_r": r,
-            "_s": nearest_station_index(lat, lng),
         }
     )
     zlat, zlng = hex_center(F.col("_q"), F.col("_r"), resolution)
-    return placed.withColumns(
-        {
-            "zone_id": hex_id(F.col("_q"), F.col("_r"), resolution),
-            "zone_lat": zlat,
-            "zone_lng": zlng,
-            "district": station_name(F.col("_s")),
-            "region": station_region(F.col("_s")),
-        }
-    ).drop("_q", "_r", "_s")
+    zoned = placed.withColumns(
+        {"zone_id": hex_id(F.col("_q"), F.col("_r"), resolution), "zone_lat": zlat, "zone_lng": zlng}
+    ).drop("_q", "_r")
+    return with_nearest_station(zoned)
 
 
 def events(spark: SparkSession, sf_dir: str, resolution: int = 9) -> DataFrame:
