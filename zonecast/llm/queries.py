@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zonecast.llm.packing import op3_packing
+from zonecast.llm.pii import op10_pii
+from zonecast.llm.quality_model import op8_quality_classifier
+from zonecast.llm.quality_rules import op6_quality_rules
+from zonecast.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
