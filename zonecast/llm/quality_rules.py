@@ -30,7 +30,7 @@ BINS = sorted(set(" ".join(COMMON.values()).split()))
 LEAST_WORDS = 50
 #: Only documents with at most these shares of capitals, of ``!?`` and of other signs enter a reference.
 PLAIN = (0.15, 0.01, 0.01)
-CHAR_BOUND, CHAR_SLACK = 0.12, 0.8
+CHAR_BOUND, CHAR_SLACK = 0.12, 1.0
 WORD_BOUND, WORD_SLACK = 0.28, 1.5
 
 _CLASSES = np.full(256, 8)
@@ -136,17 +136,14 @@ def fit_references(docs: DataFrame) -> References:
     return {k: (list(v[:N_CLASSES]), list(v[N_CLASSES:])) for k, v in out.items()}
 
 
-def distances(m: Measured, lang: list[str | None], references: References) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each text's histograms from its language's reference; without one, from the nearest."""
+def distances(m: Measured, references: References) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of each text's histograms from those of the language that is nearest to it."""
     if not references:
         return np.zeros(m.size), np.zeros(m.size)
-    names = list(references)
-    chars = np.stack([js_distance(shares(m.classes), np.array(references[k][0])) for k in names])
-    words = np.stack([js_distance(shares(m.common), np.array(references[k][1])) for k in names])
-    nearest = np.argmin(chars + words, axis=0)
-    at = np.array([names.index(x) if x in COMMON and x in references else i for x, i in zip(lang, nearest)], int)
-    rows = np.arange(m.size)
-    return chars[at, rows], words[at, rows]
+    chars = np.stack([js_distance(shares(m.classes), np.array(c)) for c, _ in references.values()])
+    words = np.stack([js_distance(shares(m.common), np.array(w)) for _, w in references.values()])
+    at = np.argmin(chars + words, axis=0), np.arange(m.size)
+    return chars[at], words[at]
 
 
 def verdict(m: Measured, chars: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -164,32 +161,28 @@ RULES = (
 def quality_rules(docs: DataFrame, references: References) -> DataFrame:
     """One row of counts, distances and verdict per document.
 
-    Null texts count as empty: no words, base rules failed. An unknown or missing language takes the nearest
-    reference. Rows are judged one by one, so repeated rows, null ids, ties and hot sources need no care; an empty
+    Null texts count as empty: no words, base rules failed. Each text is compared with
+    the nearest reference, whatever its ``lang`` says. Rows are judged one by one, so repeated rows, null ids, ties and hot sources need no care; an empty
     table gives no rows; other columns are ignored. Texts are read whole. A map without shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             m = Measured(texts_of(batch))
-            chars, words = distances(m, batch.column("lang").to_pylist(), references)
+            chars, words = distances(m, references)
             counts = [pa.array(x, pa.int64()) for x in (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)]
             flags = [pa.array(m.base_failed()), pa.array(verdict(m, chars, words)), pa.array(chars), pa.array(words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *flags], [c.split()[0] for c in RULES.split(", ")])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, RULES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RULES)
 
 
 def keep_good(docs: DataFrame, references: References) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    has_lang = "lang" in docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             m = Measured(texts_of(batch))
-            lang = batch.column("lang").to_pylist() if has_lang else [None] * m.size
-            yield batch.filter(pa.array(verdict(m, *distances(m, lang, references))))
+            yield batch.filter(pa.array(verdict(m, *distances(m, references))))
 
     return docs.mapInArrow(run, docs.schema)
 
