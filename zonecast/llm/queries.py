@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonecast.llm.bpe import op1_bpe
+from zonecast.llm.licences import op2_licences
+from zonecast.llm.minhash import op7_minhash_dedup
 from zonecast.llm.packing import op3_packing
 from zonecast.llm.pii import op10_pii
 from zonecast.llm.quality_model import op8_quality_classifier
 from zonecast.llm.quality_rules import op6_quality_rules
 from zonecast.llm.toxicity import op5_toxicity
+from zonecast.llm.vectors import op9_vector_dedup
+from zonecast.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_licences": op2_licences,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL}
