@@ -71,17 +71,29 @@ def test_far_or_late_reports_stay_apart(spark, second):
     assert clean.consolidate_events(reports(spark, rows)).count() == 2
 
 
-@pytest.mark.parametrize("chunk_rows", [100_000, 40])
-def test_clusters_equal_sequential_first_fit(spark, chunk_rows):
-    """Also with a hot spot that holds most rows and is cut into many chunks."""
+def test_clusters_equal_sequential_first_fit(spark):
+    """Also with a hot spot that holds most rows, and far north, where cells in reach are many."""
     rows = random_rows(260, 3, 400, 7) + [
         (f"h{i:04d}", 22.4 + i % 3 * 2e-5, 114.2, dt.datetime(2026, 6, 1) + dt.timedelta(seconds=97 * i), 1)
         for i in range(150)
     ]
-    got = {r.report_id: r.cluster_id for r in clean.assign_clusters(reports(spark, rows), chunk_rows).collect()}
+    rows += [(f"n{r}", lat + 56, (lng - 114) * 5, ts, u) for r, lat, lng, ts, u in random_rows(200, 6, 200, 8)]
+    got = {r.report_id: r.cluster_id for r in clean.assign_clusters(reports(spark, rows)).collect()}
     assert got == sequential(rows)
 
 
+def test_spot_that_never_falls_silent(spark):
+    rows = [(f"{i:05d}", 22.4 + i % 5 * 5e-5, 114.2, dt.datetime(2026, 6, 1) + dt.timedelta(minutes=i), 1) for i in range(5000)]
+    got = {r.report_id: r.cluster_id for r in clean.assign_clusters(reports(spark, rows)).collect()}
+    assert got == sequential(rows)
+
+
+def test_missing_votes_do_not_name_the_address(spark):
+    rows = [("a", 22.3154, 114.1698, "2026-06-28 11:37:50", None), ("b", 22.3154, 114.1698, "2026-06-28 11:40:00", 2)]
+    (got,) = clean.consolidate_events(reports(spark, rows)).collect()
+    assert got.address == "at b"
+
+
 def test_valid_reports_rules(spark):
     rows = [("a", 22.3, 114.1, "2026-06-01 10:00:00", 0), ("b", 0.0, 114.1, "2026-06-01 10:00:00", 0), ("c", 22.15, 113.83, "2026-06-01 09:00:00", 0)]
     df = reports(spark, rows).withColumn("downvote", F.when(F.col("report_id") == "a", 3).otherwise(F.col("downvote")).cast("long"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Sequence
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import grid_cell
-from zonecast.scale import component_labels, ordered_rank
+from zonecast.scale import component_labels
 from zonecast.session import materialize
 
 # lat_min, lat_max, lng_min, lng_max.
@@ -119,6 +119,7 @@ def new_per_batch(df: DataFrame, key: str = "report_id", batch: str = "seen_at")
 
 _STEP_DEG = 0.00025  # side of a micro cell; two points in one cell are under 41 m apart
 _REACH_M = 41.0
+_CELL_DEG = 0.0002  # side of a cell of cluster centres; over 20 m from north to south
 _BUCKET_US = JOIN_MINUTES * 60_000_000
 
 
@@ -126,19 +127,29 @@ def _micro(lat: Column, lng: Column) -> tuple[Column, Column]:
     return F.floor(lat / F.lit(_STEP_DEG)), F.floor(lng / F.lit(_STEP_DEG))
 
 
+def _microseconds() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("create_dt"))
+
+
 def spot_presence(reports: DataFrame) -> DataFrame:
-    """One row per (micro cell, 15-minute bucket) with its time span and run id.
+    """One row per (micro cell, 15-minute bucket) with its time span, its box and its run id.
 
     A run is an unbroken stretch of activity in one micro cell. Sessions are cut
     on the bucketed table, so a busy spot costs its number of buckets.
     """
     i, j = _micro(F.col("lat"), F.col("lng"))
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("create_dt"))
     spots = (
-        reports.select(i.alias("i"), j.alias("j"), us.alias("us"))
+        reports.select(i.alias("i"), j.alias("j"), "lat", "lng", _microseconds().alias("us"))
         .withColumn("b", F.floor(F.col("us") / F.lit(_BUCKET_US)))
         .groupBy("i", "j", "b")
-        .agg(F.min("us").alias("t0"), F.max("us").alias("t1"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.min("us").alias("t0"),
+            F.max("us").alias("t1"),
+            F.min("lat").alias("y0"),
+            F.max("lat").alias("y1"),
+            F.min("lng").alias("x0"),
+            F.max("lng").alias("x1"),
+        )
     )
     w = W.partitionBy("i", "j").orderBy("b")
     fresh = F.when(F.col("t0") - F.lag("t1").over(w) <= _BUCKET_US, None).otherwise(F.col("b"))
@@ -148,41 +159,40 @@ def spot_presence(reports: DataFrame) -> DataFrame:
     ).drop("_start")
 
 
-def link_runs(presence: DataFrame, max_abs_lat: float = 23.0) -> DataFrame:
+def link_runs(presence: DataFrame) -> DataFrame:
     """Pairs of runs that may hold two reports within 41 m and 15 minutes.
 
-    Works on (cell, bucket) rows, each meeting a fixed number of neighbours;
-    it never lists pairs of reports.
+    Works on (cell, bucket) rows; each meets the cells in reach, which are more
+    east and west the nearer it is to a pole, and is linked where the boxes of
+    the reports come close enough. It never lists pairs of reports.
     """
-    lng_reach = 1 + math.ceil(_REACH_M / (_STEP_DEG * 111_000 * math.cos(math.radians(max_abs_lat))))
-    offsets = [
-        (di, dj, db)
-        for di in range(-2, 3)
-        for dj in range(-lng_reach, lng_reach + 1)
-        for db in (0, 1)
-        if (db == 1 or (di, dj) > (0, 0))
-    ]
-    shifts = F.array(
-        *[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("db")) for a, b, c in offsets]
+    side = F.lit(_STEP_DEG * 111_000)
+    north = F.least((F.abs("i") + 3) * F.lit(_STEP_DEG), F.lit(89.999))
+    lng_reach = 1 + F.ceil(F.lit(_REACH_M) / (side * F.cos(F.radians(north)))).cast("int")
+    steps = F.array(
+        *[F.struct(F.lit(di).alias("di"), F.lit(db).alias("db")) for di in range(-2, 3) for db in (0, 1)]
     )
-    left = presence.select("*", F.explode(shifts).alias("s")).select(
+    moved = presence.withColumn("s", F.explode(steps)).withColumn("dj", F.explode(F.sequence(-lng_reach, lng_reach)))
+    left = moved.filter("s.db = 1 OR s.di > 0 OR (s.di = 0 AND dj > 0)").select(
         F.col("run").alias("a"),
-        F.col("t0").alias("a0"),
-        F.col("t1").alias("a1"),
+        *[F.col(c).alias(f"a_{c}") for c in ("t0", "t1", "y0", "y1", "x0", "x1")],
         (F.col("i") + F.col("s.di")).alias("i"),
-        (F.col("j") + F.col("s.dj")).alias("j"),
+        (F.col("j") + F.col("dj")).alias("j"),
         (F.col("b") + F.col("s.db")).alias("b"),
     )
-    close = (F.col("t0") - F.col("a1") <= _BUCKET_US) & (F.col("a0") - F.col("t1") <= _BUCKET_US)
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"{c}1"))
+    highest = F.least(F.greatest(F.abs("y0"), F.abs("y1"), F.abs("a_y0"), F.abs("a_y1")), F.lit(90.0))
+    apart = F.hypot(gap("y") * 111_000, gap("x") * 111_000 * F.cos(F.radians(highest)))
+    close = (F.col("t0") - F.col("a_t1") <= _BUCKET_US) & (F.col("a_t0") - F.col("t1") <= _BUCKET_US)
     return (
         left.join(presence, ["i", "j", "b"])
-        .filter(close & (F.col("a") != F.col("run")))
+        .filter(close & (apart <= _REACH_M) & (F.col("a") != F.col("run")))
         .select(F.least("a", "run").alias("a"), F.greatest("a", "run").alias("b"))
         .distinct()
     )
 
 
-def _place_reports(reports: DataFrame, max_abs_lat: float) -> DataFrame:
+def _place_reports(reports: DataFrame) -> DataFrame:
     """Attach the connected component of runs every report belongs to.
 
     A report can only join a cluster whose last member is under 40 m and 15
@@ -190,14 +200,11 @@ def _place_reports(reports: DataFrame, max_abs_lat: float) -> DataFrame:
     each component equals greedy clustering of the whole table.
     """
     presence = materialize(spot_presence(reports))
-    labels = component_labels(
-        presence.select(F.col("run").alias("node")), link_runs(presence, max_abs_lat)
-    )
+    labels = component_labels(presence.select(F.col("run").alias("node")), link_runs(presence))
     spots = presence.join(labels, presence["run"] == labels["node"]).select("i", "j", "b", "label")
     i, j = _micro(F.col("lat"), F.col("lng"))
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("create_dt"))
     return (
-        reports.select("report_id", "lat", "lng", us.alias("us"), i.alias("i"), j.alias("j"))
+        reports.select("report_id", "lat", "lng", _microseconds().alias("us"), i.alias("i"), j.alias("j"))
         .withColumn("b", F.floor(F.col("us") / F.lit(_BUCKET_US)))
         .join(spots, ["i", "j", "b"])
         .select("label", "report_id", "lat", "lng", "us")
@@ -213,129 +220,86 @@ def _metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
     return 2 * 6_371_000.0 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
 
 
-def _fold(points: pd.DataFrame, state: str | None) -> tuple[list[str], str]:
-    """First-fit assignment of time-ordered points, starting from open clusters.
-
-    Returns the cluster id of each point and the clusters still open at the end.
-    """
-    open_clusters = [list(c) for c in json.loads(state)] if state else []
-    owners: list[str] = []
-    now = 0
-    for rid, lat, lng, now in zip(points["report_id"], points["lat"], points["lng"], points["us"]):
-        now = int(now)
-        open_clusters = [c for c in open_clusters if now - c[4] <= _BUCKET_US]
-        for c in open_clusters:
-            if _metres(lat, lng, c[1] / c[3], c[2] / c[3]) <= JOIN_RADIUS_M:
-                c[1] += lat
-                c[2] += lng
-                c[3] += 1
-                c[4] = now
-                owners.append(c[0])
+class _OpenClusters:
+    """First-fit state of one component: open clusters by last member, and by the cell of their centre."""
+
+    def __init__(self) -> None:
+        self.open: OrderedDict[int, list] = OrderedDict()
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.made = 0
+
+    @staticmethod
+    def _cell(c: list) -> tuple[int, int]:
+        return math.floor(c[1] / c[3] / _CELL_DEG), math.floor(c[2] / c[3] / _CELL_DEG)
+
+    def _move(self, number: int, old: tuple[int, int] | None, new: tuple[int, int] | None) -> None:
+        if old == new:
+            return
+        if old is not None:
+            self.cells[old].discard(number)
+            if not self.cells[old]:
+                del self.cells[old]
+        if new is not None:
+            self.cells.setdefault(new, set()).add(number)
+
+    def _near(self, lat: float, lng: float) -> list[int]:
+        """Open clusters whose centre may lie within the radius, oldest first."""
+        i = math.floor(lat / _CELL_DEG)
+        reach = 1.01 * JOIN_RADIUS_M / (111_000 * max(math.cos(math.radians(min(abs(lat) + 0.001, 90))), 1e-9))
+        j0, j1 = math.floor((lng - reach) / _CELL_DEG), math.floor((lng + reach) / _CELL_DEG)
+        if 3 * (j1 - j0 + 1) > len(self.open):
+            return sorted(self.open)
+        cells = (self.cells.get((i + di, j), ()) for di in (-1, 0, 1) for j in range(j0, j1 + 1))
+        return sorted(n for members in cells for n in members)
+
+    def owner(self, rid: str, lat: float, lng: float, now: int) -> str:
+        """Cluster of the next report in time; reports come in order."""
+        while self.open:
+            number, c = next(iter(self.open.items()))
+            if now - c[4] <= _BUCKET_US:
                 break
-        else:
-            open_clusters.append([rid, float(lat), float(lng), 1, now])
-            owners.append(rid)
-    return owners, json.dumps(open_clusters)
-
-
-def _assign(state_by_chunk: bool):
-    def run(points: pd.DataFrame, states: pd.DataFrame | None = None) -> pd.DataFrame:
-        points = points.sort_values(["us", "report_id"], kind="mergesort")
-        state = states["_state_in"].iloc[0] if states is not None and len(states) else None
-        owners, _ = _fold(points, state)
-        return pd.DataFrame({"report_id": points["report_id"].to_numpy(), "cluster_id": owners})
-
-    if state_by_chunk:
-        return lambda points, states: run(points, states)
-    return lambda points: run(points)
-
-
-def _advance(points: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-    points = points.sort_values(["us", "report_id"], kind="mergesort")
-    _, out = _fold(points, states["_state_in"].iloc[0] if len(states) else None)
-    return pd.DataFrame(
-        {"label": [points["label"].iloc[0]], "chunk": [points["chunk"].iloc[0]], "state_out": [out]}
-    )
-
-
-def _assign_large(points: DataFrame, chunk_rows: int) -> DataFrame:
-    """Cluster components above ``chunk_rows`` in time-ordered chunks.
-
-    Every chunk starts from a guess of the clusters open at its start (none), then
-    only chunks whose guess differs from what the previous chunk really left open
-    run again. It ends when all agree, which is the sequential result; open
-    clusters die after 15 minutes, so guesses usually settle in two rounds.
+            self._move(number, self._cell(c), None)
+            del self.open[number]
+        for number in self._near(lat, lng):
+            c = self.open[number]
+            if _metres(lat, lng, c[1] / c[3], c[2] / c[3]) <= JOIN_RADIUS_M:
+                before = self._cell(c)
+                c[1], c[2], c[3], c[4] = c[1] + lat, c[2] + lng, c[3] + 1, now
+                self.open.move_to_end(number)
+                self._move(number, before, self._cell(c))
+                return c[0]
+        c = [rid, lat, lng, 1, now]
+        self.open[self.made] = c
+        self._move(self.made, None, self._cell(c))
+        self.made += 1
+        return rid
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cluster id of every report of a partition sorted by (label, time, id); holds open clusters only."""
+    label, state = None, _OpenClusters()
+    for rows in batches:
+        owners = []
+        for part, rid, lat, lng, us in zip(rows["label"], rows["report_id"], rows["lat"], rows["lng"], rows["us"]):
+            if part != label:
+                label, state = part, _OpenClusters()
+            owners.append(state.owner(rid, float(lat), float(lng), int(us)))
+        yield pd.DataFrame({"report_id": rows["report_id"].to_numpy(), "cluster_id": owners})
+
+
+def assign_clusters(reports: DataFrame) -> DataFrame:
+    """(report_id, cluster_id): greedy first-fit clusters, named by their first report.
+
+    Components are independent and read once each, in time order, in a stream. A
+    component that never falls silent stays one stream by the rule itself.
     """
-    ranked = ordered_rank(points, [F.col("us"), F.col("report_id")], ["label"], "pos")
-    chunks = materialize(
-        ranked.withColumn("chunk", F.floor((F.col("pos") - 1) / F.lit(chunk_rows))).drop("pos")
-    )
-    guesses = materialize(chunks.select("label", "chunk").distinct().withColumn("state_in", F.lit("[]")))
-    pending, outs = guesses, None
-    while True:
-        ran = materialize(
-            _with_state(chunks, pending, _advance, "label string, chunk bigint, state_out string")
-        )
-        if outs is not None:
-            kept = outs.join(_keys(ran), [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left_anti")
-            ran = kept.unionByName(ran)
-        outs = materialize(ran)
-        left_open = outs.select(
-            F.col("label").alias("_l"), (F.col("chunk") + 1).alias("_c"), F.col("state_out").alias("real")
-        )
-        compared = materialize(
-            guesses.join(
-                left_open, [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left"
-            ).select("label", "chunk", "state_in", F.coalesce("real", F.lit("[]")).alias("real"))
-        )
-        pending = compared.filter("state_in <> real").select(
-            "label", "chunk", F.col("real").alias("state_in")
-        )
-        guesses = compared.select("label", "chunk", F.col("real").alias("state_in"))
-        if pending.isEmpty():
-            break
-    return _with_state(chunks, guesses, _assign(True), "report_id string, cluster_id string")
-
-
-def _keys(df: DataFrame) -> DataFrame:
-    return df.select(F.col("label").alias("_l"), F.col("chunk").alias("_c"))
+    placed = _place_reports(reports).repartition("label").sortWithinPartitions("label", "us", "report_id")
+    return placed.mapInPandas(_fold, "report_id string, cluster_id string")
 
 
-def _with_state(chunks: DataFrame, states: DataFrame, run, schema: str) -> DataFrame:
-    """Run the chunks that have a state row, each with its state."""
-    named = states.select(*[F.col(c).alias(f"_{c}") for c in ("label", "chunk", "state_in")])
-    todo = chunks.join(
-        _keys(states), [F.col("label") == F.col("_l"), F.col("chunk") == F.col("_c")], "left_semi"
-    )
-    return todo.groupBy("label", "chunk").cogroup(named.groupBy("_label", "_chunk")).applyInPandas(run, schema)
-
-
-def assign_clusters(
-    reports: DataFrame, chunk_rows: int = 50_000, max_abs_lat: float = 23.0
-) -> DataFrame:
-    """(report_id, cluster_id): greedy first-fit clusters, named by their first report."""
-    placed = materialize(_place_reports(reports, max_abs_lat))
-    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    sized = placed.join(sizes, "label")
-    single = sized.filter("size = 1").select("report_id", F.col("report_id").alias("cluster_id"))
-    small = (
-        sized.filter(f"size > 1 AND size <= {chunk_rows}")
-        .drop("size")
-        .groupBy("label")
-        .applyInPandas(_assign(False), "report_id string, cluster_id string")
-    )
-    found = single.unionByName(small)
-    large = sized.filter(f"size > {chunk_rows}").drop("size")
-    if not large.isEmpty():
-        found = found.unionByName(_assign_large(large, chunk_rows))
-    return found
-
-
-def consolidate_events(
-    reports: DataFrame, chunk_rows: int = 50_000, max_abs_lat: float = 23.0
-) -> DataFrame:
+def consolidate_events(reports: DataFrame) -> DataFrame:
     """Merge reports within 20 m and 15 minutes into events."""
-    owners = assign_clusters(reports, chunk_rows, max_abs_lat)
+    owners = assign_clusters(reports)
     member = F.struct("create_dt", "report_id")
     merged = (
         reports.join(owners, "report_id")
@@ -343,7 +307,7 @@ def consolidate_events(
         .agg(
             F.avg("lat").alias("lat"),
             F.avg("lng").alias("lng"),
-            F.min_by("address", F.struct(-F.col("upvote"), member)).alias("address"),
+            F.min_by("address", F.struct(-F.coalesce("upvote", F.lit(0)), member)).alias("address"),
             F.min("create_dt").alias("create_dt"),
             F.max("create_dt").alias("end_dt"),
             F.count(F.lit(1)).alias("report_count"),
