@@ -207,6 +207,7 @@ def zone_ctes(res: int, suffix: str = "") -> None:
 
 zone_ctes(9)
 zone_ctes(8, "8")
+zone_ctes(10, "10")
 
 cte(
     "ring",
@@ -380,8 +381,9 @@ O["i1_read_report_archive"] = q(
  CASE WHEN event_id%4>0 THEN downvote ELSE 0 END downvote FROM rep""",
     "rep",
 )
+O["i2_salvage_quarantine"] = q("SELECT event_id//500 b, 1::BIGINT pieces FROM rep GROUP BY 1", "rep")
 O["i2_salvage_reports"] = q(
-    """SELECT report_id, lat, lng, address, upvote, CASE WHEN event_id%4>0 THEN downvote ELSE 0 END downvote FROM rep
+    """SELECT report_id, lat, lng, '{at} "'||address address, upvote, CASE WHEN event_id%4>0 THEN downvote ELSE 0 END downvote FROM rep
  WHERE event_id NOT IN (SELECT max(event_id) FROM rep GROUP BY event_id//500)""",
     "rep",
 )
@@ -411,6 +413,9 @@ O["i10_explode_lines"] = q(
     "segs",
 )
 
+O["i10_read_polygons"] = """SELECT n_name district, r_name region, CASE WHEN n_nationkey%5<2 THEN 2 ELSE 1 END::BIGINT rings,
+ (CASE WHEN n_nationkey%5<2 THEN 2 ELSE 1 END*6)::BIGINT points FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey%5<>2"""
+
 # --- filters, dedupe, clustering -----------------------------------------------------
 
 VALID = f"lat<>0 AND lng<>0 AND lat BETWEEN {d(22.15)} AND {d(22.56)} AND lng BETWEEN {d(113.83)} AND {d(114.41)} AND NOT ({{u}}=0 AND {{v}}>=3)"
@@ -437,17 +442,23 @@ O["d2_new_per_batch"] = q(
 )
 cte(
     "pres",
-    f"""SELECT i, j, b, t0, t1, n, printf('%d:%d:%d', i, j, max(CASE WHEN t0-pt<=900000000 THEN NULL ELSE b END) OVER (PARTITION BY i,j ORDER BY b)) run
+    f"""SELECT i, j, b, t0, t1, n, y0, y1, x0, x1, printf('%d:%d:%d', i, j, max(CASE WHEN t0-pt<=900000000 THEN NULL ELSE b END) OVER (PARTITION BY i,j ORDER BY b)) run
  FROM (SELECT *, lag(t1) OVER (PARTITION BY i,j ORDER BY b) pt FROM (
  SELECT CAST(floor(lat/{d(0.00025)}) AS BIGINT) i, CAST(floor(lng/{d(0.00025)}) AS BIGINT) j, epoch_us(create_dt)//900000000 b,
- min(epoch_us(create_dt)) t0, max(epoch_us(create_dt)) t1, count(*) n FROM rep GROUP BY 1,2,3))""",
+ min(epoch_us(create_dt)) t0, max(epoch_us(create_dt)) t1, count(*) n, min(lat) y0, max(lat) y1, min(lng) x0, max(lng) x1 FROM rep GROUP BY 1,2,3))""",
+    "rep",
+)
+O["c1_event_totals"] = q(
+    """SELECT count(*) reports, CAST(sum(upvote) AS BIGINT) upvotes, CAST(sum(downvote) AS BIGINT) downvotes, min(create_dt) first_dt,
+ max(create_dt) last_dt, 0::BIGINT repeated_ids, 0::BIGINT wrong_rows FROM rep""",
     "rep",
 )
 O["c2_spot_presence"] = q("SELECT i, j, b, t0, t1, n, run FROM pres", "pres")
-_LNG_REACH = 1 + math.ceil(41.0 / (0.00025 * 111_000 * math.cos(math.radians(23.0))))
+_BOX_GAP = "greatest(0e0, y.{c}0-x.{c}1, x.{c}0-y.{c}1)*111000e0"
 O["c2_link_runs"] = q(
     f"""SELECT DISTINCT least(x.run,y.run) a, greatest(x.run,y.run) b FROM pres x JOIN pres y ON y.b-x.b IN (0,1)
- AND abs(x.i-y.i)<=2 AND abs(x.j-y.j)<={_LNG_REACH} AND y.t0-x.t1<=900000000 AND x.t0-y.t1<=900000000 AND x.run<>y.run""",
+ AND abs(x.i-y.i)<=2 AND y.t0-x.t1<=900000000 AND x.t0-y.t1<=900000000 AND x.run<>y.run
+ AND sqrt(pow({_BOX_GAP.format(c='y')},2)+pow({_BOX_GAP.format(c='x')}*cos(radians(greatest(abs(x.y0),abs(x.y1),abs(y.y0),abs(y.y1)))),2))<=41e0""",
     "pres",
 )
 O["c3_session_events"] = q(
@@ -597,7 +608,7 @@ O["x8_cell_neighbors"] = q(
 )
 O["x9_cell_universe"] = q("SELECT grid_cell, district, region FROM cu", "cu")
 O["x10_cell_label"] = q(
-    """SELECT t target_time, u.grid_cell, CAST(count(e.ts)>0 AS INTEGER) has_warden FROM ct CROSS JOIN cu u
+    """SELECT t target_time, u.grid_cell, CAST(count(e.ts)>0 AS INTEGER) has_event FROM ct CROSS JOIN cu u
  LEFT JOIN ev e ON e.grid_cell=u.grid_cell AND e.ts>=t AND e.ts<t+INTERVAL 1 HOUR GROUP BY 1,2""",
     "ct",
     "cu",
@@ -672,13 +683,10 @@ O["z17_line_context"] = q(
 )
 O["z18_add_engineered"] = q(
     f"""SELECT z.target_time, z.zone_id, zr.n24 neighbor_event_count_24h, zr.r24 ring2_event_count_24h, zr.ra ring2_active_zones_24h,
- round(sin({_TAU}*hr_/24e0),6) hour_sin, round(cos({_TAU}*dw/7e0),6) dow_cos, rel.r zone_7d_rank_in_district,
- near.n24 distance_to_nearest_event_24h_m, 999999e0 nearest_road_m
- FROM zb z JOIN zr USING (target_time,zone_id) JOIN rel USING (target_time,zone_id) JOIN near USING (target_time,zone_id)""",
+ round(sin({_TAU}*hr_/24e0),6) hour_sin, round(cos({_TAU}*dw/7e0),6) dow_cos, 999999e0 nearest_road_m
+ FROM zb z JOIN zr USING (target_time,zone_id)""",
     "zb",
     "zr",
-    "rel",
-    "near",
 )
 
 # --- city features -------------------------------------------------------------------------
@@ -804,12 +812,14 @@ def _res_row(res: int, zb: str) -> str:
  SELECT CAST(sum(n) AS BIGINT) tr, count(*) az, quantile_cont(n,0.5) med, avg(CAST(n=1 AS DOUBLE)) oo FROM (SELECT zone_id, count(*) n FROM {zb} GROUP BY 1))"""
 
 
-O["m12_resolution_compare"] = q(f"{_res_row(8, 'zb8')} UNION ALL {_res_row(9, 'zb')}", "zb", "zb8")
+_RES_ROWS = f"{_res_row(8, 'zb8')} UNION ALL {_res_row(9, 'zb')} UNION ALL {_res_row(10, 'zb10')}"
+O["m12_resolution_compare"] = q(_RES_ROWS, "zb", "zb8", "zb10")
 O["m12_choose_resolution"] = q(
-    f"""SELECT * FROM ({_res_row(8, 'zb8')} UNION ALL {_res_row(9, 'zb')}) ORDER BY CAST(one_off_zone_rate<=0.6 AS INTEGER) DESC,
+    f"""SELECT * FROM ({_RES_ROWS}) ORDER BY CAST(one_off_zone_rate<=0.6 AS INTEGER) DESC,
  precision_at_20 DESC, top_decile_lift DESC, one_off_zone_rate, resolution LIMIT 1""",
     "zb",
     "zb8",
+    "zb10",
 )
 
 # --- splits ----------------------------------------------------------------------------------------
@@ -851,7 +861,7 @@ O["p5_positional_split"] = q(
     "ev",
 )
 O["p5_latest_rows"] = q("SELECT event_id, ts FROM ev ORDER BY ts DESC, event_id DESC LIMIT 500", "ev")
-cte("smp", "SELECT *, sum(actual) OVER (PARTITION BY target_time)>0 hot, 2*sum(actual) OVER () lim FROM zb WHERE hr_<6 OR c3>0", "zb")
+cte("smp", "SELECT *, sum(actual) OVER (PARTITION BY target_time)>0 hot, 2*sum(actual) OVER () lim FROM zb", "zb")
 O["p6_sample_training_rows"] = q(
     """SELECT target_time, zone_id, actual alert_next_2h FROM smp WHERE actual=1 UNION ALL
  SELECT target_time, zone_id, actual FROM (SELECT *, row_number() OVER (ORDER BY c24 DESC, d24 DESC, c7 DESC, target_time, zone_id) r FROM smp WHERE actual=0 AND hot) WHERE r<=lim UNION ALL
@@ -859,7 +869,14 @@ O["p6_sample_training_rows"] = q(
  FROM smp WHERE actual=0 AND NOT hot) WHERE r<=ceil(lim*0.02e0) AND lim>0""",
     "smp",
 )
-O["p7_active_windows"] = q("SELECT target_time, zone_id, actual alert_next_2h FROM zb WHERE target_time IN (SELECT target_time FROM zb WHERE actual=1)", "zb")
+# A label needs no feature: an event makes the two hours whose window holds it positive.
+cte("pos", "SELECT DISTINCT zone_id, t FROM (SELECT zone_id, date_trunc('hour',ts)-k*INTERVAL 1 HOUR t FROM ev CROSS JOIN (VALUES (0),(1)) v(k)) JOIN tt USING (t)", "ev", "tt")
+O["p7_active_windows"] = q(
+    """SELECT h.t target_time, z.zone_id, CAST(pos.t IS NOT NULL AS INTEGER) alert_next_2h FROM (SELECT DISTINCT t FROM pos) h CROSS JOIN zs z
+ LEFT JOIN pos ON pos.t=h.t AND pos.zone_id=z.zone_id""",
+    "pos",
+    "zs",
+)
 O["p8_ranker_groups"] = q("SELECT t target_time, n group_size, p positives FROM tm WHERE p>0 ORDER BY t", "tm")
 
 # --- metrics ------------------------------------------------------------------------------------------
@@ -969,20 +986,21 @@ O["e16_dispatch_topk"] = q(
  CAST(count(DISTINCT target_time) AS DOUBLE) dispatch_target_times_at_50 FROM {dispatch(1)} WHERE dr<=50""",
     "rk",
 )
-_HZ = "CASE fold WHEN 1 THEN 30 WHEN 2 THEN 60 ELSE 120 END"
+_HZ = "CASE fold WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 120 ELSE 240 END"
 O["e17_horizon_summary"] = q(
-    f"""SELECT a.h horizon_minutes, CASE a.h WHEN 30 THEN '30m' WHEN 60 THEN '1h' ELSE '2h' END horizon, 'two_stage' model_family,
+    f"""SELECT a.h horizon_minutes, CASE a.h WHEN 30 THEN '30m' WHEN 60 THEN '1h' WHEN 120 THEN '2h' ELSE '4h' END horizon, 'two_stage' model_family,
  round(b,6) activity_brier_score, round(average_precision,6) spatial_average_precision
- FROM (SELECT {_HZ} h, avg(pow(score-actual,2)) b FROM ms WHERE model='a' AND fold<4 GROUP BY 1) a
- JOIN (SELECT {_HZ} h, average_precision FROM ap WHERE model='b' AND fold<4) z USING (h)""",
+ FROM (SELECT {_HZ} h, avg(pow(score-actual,2)) b FROM ms WHERE model='a' GROUP BY 1) a
+ JOIN (SELECT {_HZ} h, average_precision FROM ap WHERE model='b') z USING (h)""",
     "ms",
     "ap",
 )
 
 # --- scoring --------------------------------------------------------------------------------------------
 
-cte("act", "SELECT t, CAST(c3%10 AS DOUBLE)/1e1 p FROM cc WHERE hr_<>3", "cc")
-cte("stg", "SELECT sc.*, coalesce(p,(SELECT avg(p) FROM act)) ap_ FROM sc LEFT JOIN act ON act.t=sc.target_time", "sc", "act")
+for _s, _where in (("", ""), ("_gaps", " WHERE hr_<>3")):
+    cte(f"act{_s}", f"SELECT t, CAST(c3%10 AS DOUBLE)/1e1 p FROM cc{_where}", "cc")
+    cte(f"stg{_s}", f"SELECT sc.*, coalesce(p,(SELECT avg(p) FROM act{_s})) ap_ FROM sc LEFT JOIN act{_s} a ON a.t=sc.target_time", "sc", f"act{_s}")
 BAND = "CASE WHEN {p}>=0.10 THEN 'critical' WHEN {p}>=0.05 THEN 'high' WHEN {p}>=0.02 THEN 'elevated' ELSE 'low' END"
 O["k1_combine_scores"] = q(
     f"""SELECT target_time, zone_id, round(pr,6) probability, row_number() OVER (ORDER BY pr DESC, zone_id, target_time) rank, {BAND.format(p='pr')} risk_band
@@ -990,6 +1008,7 @@ O["k1_combine_scores"] = q(
     "stg",
 )
 O["k2_activity_lookup"] = q("SELECT target_time, zone_id, round(ap_,6) activity_probability FROM stg", "stg")
+O["k2_activity_lookup_gaps"] = q("SELECT target_time, zone_id, round(ap_,6) activity_probability FROM stg_gaps", "stg_gaps")
 
 
 def avg_pct(c: str) -> str:

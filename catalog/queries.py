@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +57,25 @@ def i1_read_report_archive(spark, sf):
     return archive.read_report_archive(spark, I.archive_files(spark, sf) + "/*/*.txt")
 
 
+def _salvaged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Both halves of archive files whose ends are cut off and whose addresses hold braces."""
+    path = I.folder(spark, "damaged")
+    braces = F.regexp_replace("value", '"address":"', '"address":"{at} \\\\"')
+    cut = I.archive_text(spark, sf).select("b", braces.alias("value"))
+    cut = cut.select("b", F.substring("value", F.lit(1), F.length("value") - 40).alias("value"))
+    cut.repartition("b").write.partitionBy("b").option("maxRecordsPerFile", 1).text(path)
+    return archive.salvage_reports(archive.read_text_files(spark, path + "/*/*.txt"))
+
+
 @query
 def i2_salvage_reports(spark, sf):
-    whole = I.archive_text(spark, sf)
-    damaged = whole.select(
-        F.col("b").cast("string").alias("path"),
-        F.substring("value", F.lit(1), F.length("value") - 40).alias("value"),
-    )
-    good, _ = archive.salvage_reports(damaged)
-    return good.select("report_id", "lat", "lng", "address", "upvote", "downvote")
+    return _salvaged(spark, sf)[0].select("report_id", "lat", "lng", "address", "upvote", "downvote")
+
+
+@query
+def i2_salvage_quarantine(spark, sf):
+    b = F.regexp_extract("path", "b=([0-9]+)", 1).cast("bigint")
+    return _salvaged(spark, sf)[1].groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("pieces"))
 
 
 @query
@@ -143,6 +153,33 @@ def i10_explode_lines(spark, sf):
     return r6(archive.explode_lines(I.line_features(spark, sf)))
 
 
+@query
+def i10_read_polygons(spark, sf):
+    """A collection with holes, several parts and unnamed features, written and read again."""
+    k, ring = F.col("poly_id"), F.get("rings", F.lit(0))
+    moved = lambda dx: F.transform(ring, lambda p: F.array(p[0] + F.lit(dx), p[1]))
+    inner = F.transform(ring, lambda p: F.array((p[0] + ring[0][0]) / 2, (p[1] + ring[0][1]) / 2))
+    shape = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.to_json(c).alias("coordinates"))
+    geometry = (
+        F.when(k % 5 == 0, shape("MultiPolygon", F.array(F.array(ring), F.array(moved(1.0)))))
+        .when(k % 5 == 1, shape("Polygon", F.array(ring, inner)))
+        .otherwise(shape("Polygon", F.array(ring)))
+    )
+    props = F.struct(F.when(k % 5 != 2, F.col("district")).alias("name"), "region")
+    feature = F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))
+    # to_json quotes the coordinates, which are JSON already
+    text = F.regexp_replace(F.to_json(feature), r'"coordinates":"([^"]*)"', r'"coordinates":$1')
+    whole = I.polygons(spark, sf).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(text), ","), F.lit("]}")).alias("value"))
+    path = I.folder(spark, "polygons")
+    whole.write.text(path)
+    got = archive.explode_polygons(archive.read_features(spark, path))
+    points = F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r))
+    return got.select(
+        F.col("name").alias("district"), F.col("properties")["region"].alias("region"),
+        F.size("rings").cast("bigint").alias("rings"), points.cast("bigint").alias("points"),
+    )
+
+
 # --- filters, dedupe, clustering ----------------------------------------------------
 
 
@@ -186,6 +223,22 @@ def c1_consolidate_events(spark, sf):
     return r6(clean.consolidate_events(I.reports(spark, sf)))
 
 
+@query
+def c1_event_totals(spark, sf):
+    """What any right clustering keeps: every report is in one event, votes and times add up."""
+    e = clean.consolidate_events(I.reports(spark, sf))
+    span = F.timestamp_diff("MICROSECOND", F.col("create_dt"), F.col("end_dt")) / F.lit(6e7)
+    return e.agg(
+        F.sum("report_count").alias("reports"),
+        F.sum("total_upvotes").alias("upvotes"),
+        F.sum("total_downvotes").alias("downvotes"),
+        F.min("create_dt").alias("first_dt"),
+        F.max("end_dt").alias("last_dt"),
+        (F.count(F.lit(1)) - F.count_distinct("event_id")).alias("repeated_ids"),
+        F.count_if((F.col("report_count") < 1) | (F.abs(F.col("duration_min") - span) > 1e-6) | (span < 0)).alias("wrong_rows"),
+    )
+
+
 @query
 def c2_link_runs(spark, sf):
     presence = materialize(clean.spot_presence(I.reports(spark, sf)))
@@ -398,7 +451,7 @@ CELL_GROUPS = {
     "x6_district_rates": ("district_historical_rate", "district_hour_rate"),
     "x7_hour_rates": ("hour_historical_rate", "dow_hour_rate"),
     "x8_cell_neighbors": ("neighbor_24h_count",),
-    "x10_cell_label": ("has_warden",),
+    "x10_cell_label": ("has_event",),
 }
 
 
@@ -480,8 +533,8 @@ def z18_add_engineered(spark, sf):
         "target_time", "zone_id", "district", "hour", "day_of_week", "zone_event_count_3h", "zone_event_count_24h",
         "zone_event_count_7d", "district_event_count_3h", "district_event_count_24h", "zone_same_hour_rate",
     )
-    wanted = ["neighbor_event_count_24h", "ring2_event_count_24h", "ring2_active_zones_24h", "hour_sin", "dow_cos",
-              "zone_7d_rank_in_district", "distance_to_nearest_event_24h_m", "nearest_road_m"]
+    # The nearest event and the ranks are compared by z13 to z16; here the columns that this step puts together.
+    wanted = ["neighbor_event_count_24h", "ring2_event_count_24h", "ring2_active_zones_24h", "hour_sin", "dow_cos", "nearest_road_m"]
     return r6(zones.add_engineered(base).select("target_time", "zone_id", *wanted))
 
 
@@ -605,7 +658,7 @@ def m11_top_positive_zones(spark, sf):
 
 def _resolution_rows(spark, sf) -> DataFrame:
     out = None
-    for res in (8, 9):
+    for res in (8, 9, 10):
         def build(res=res):
             return zones.zone_base_features(I.resolution_events(spark, sf, res), I.LOOKBACK_DAYS, I.HORIZON, res)
 
@@ -686,8 +739,7 @@ def p5_latest_rows(spark, sf):
 
 @query
 def p6_sample_training_rows(spark, sf):
-    base = I.zone_base(spark, sf).filter("hour < 6 OR zone_event_count_3h > 0")
-    return splits.sample_training_rows(base, I.TARGET, 2, 0.02, 42).select("target_time", "zone_id", I.TARGET)
+    return splits.sample_training_rows(I.zone_base(spark, sf), I.TARGET, 2, 0.02, 42).select("target_time", "zone_id", I.TARGET)
 
 
 @query
@@ -818,8 +870,8 @@ def e16_dispatch_topk(spark, sf):
 @query
 def e17_horizon_summary(spark, sf):
     ms = I.model_scores(spark, sf)
-    minutes = lambda d: d.withColumn("horizon_minutes", F.when(F.col("fold") == 1, 30).when(F.col("fold") == 2, 60).otherwise(120))
-    tag = lambda m: minutes(ms.filter((F.col("model") == m) & (F.col("fold") < 4)))
+    minutes = lambda d: d.withColumn("horizon_minutes", F.when(F.col("fold") == 1, 30).when(F.col("fold") == 2, 60).when(F.col("fold") == 3, 120).otherwise(240))
+    tag = lambda m: minutes(ms.filter(F.col("model") == m))
     a = metrics.brier_score(tag("a"), ["horizon_minutes"])
     z = metrics.curve_metrics(tag("b"), ["horizon_minutes"]).select("horizon_minutes", "average_precision")
     return r6(metrics.horizon_summary(a, z))
@@ -828,8 +880,8 @@ def e17_horizon_summary(spark, sf):
 # --- scoring ----------------------------------------------------------------------------
 
 
-def _stages(spark, sf) -> DataFrame:
-    act = I.activity(spark, sf).filter("hour <> 3").select(
+def _stages(spark, sf, hours: str = "true") -> DataFrame:
+    act = I.activity(spark, sf).filter(hours).select(
         "target_time", (F.col("city_event_count_3h") % 10 / F.lit(10.0)).alias("activity_probability")
     )
     spatial_scores = I.scored(spark, sf).withColumnRenamed("score", "spatial_probability")
@@ -848,6 +900,12 @@ def k2_activity_lookup(spark, sf):
     return r6(_stages(spark, sf).select("target_time", "zone_id", "activity_probability"))
 
 
+@query
+def k2_activity_lookup_gaps(spark, sf):
+    """With an hour of each day missing from the activity table."""
+    return r6(_stages(spark, sf, "hour <> 3").select("target_time", "zone_id", "activity_probability"))
+
+
 def _blended(spark, sf) -> DataFrame:
     f = I.zone_full(spark, sf)
     s = f.withColumn("score", ((F.col("zone_event_count_7d") * 7 + F.col("hour")) % 101) / F.lit(100.0))
@@ -1030,7 +1088,7 @@ def l3_evaluate_candidates(spark, sf):
     busy = I.activity(spark, sf).withColumn(y, _busy(spark, sf))
     return models.evaluate_candidates(
         busy, y, models.ACTIVITY_NUMERIC, models.ACTIVITY_CATEGORICAL, 60,
-        ("logistic_balanced", "prior"), 3, "activity",
+        tuple(models.CANDIDATES), 4, "activity",
     )
 
 
@@ -1067,6 +1125,12 @@ def l7_model_io(spark, sf):
     return models.predict(models.load_model(path), busy, models.ACTIVITY_NUMERIC, rate).select("target_time", "score")
 
 
+@query
+def plan_train_and_forecast(spark, sf):
+    """The cell model trained on all history, its forecast one row per listed cell."""
+    return r6(runs.train_and_forecast(I.events(spark, sf), F.lit("2024-01-21 10:20:30").cast("timestamp_ntz")))
+
+
 @query
 def plan_clean_events(spark, sf):
     return r6(runs.clean_events(I.reports(spark, sf))).select(
@@ -1156,14 +1220,14 @@ def y8_model_metrics(spark, sf):
 SLICES = ("2024-01-10", "2024-01-20", "2100-01-01")
 
 
-def _land(spark: SparkSession, df: DataFrame, run: Callable[[DataFrame], None]) -> None:
+def _land(spark: SparkSession, df: DataFrame, run: Callable[[DataFrame], None], order: Sequence[int] = (0, 1, 2)) -> None:
     path = I.folder(spark, "landed")
-    since = "1970-01-01"
-    for until in SLICES:
-        part = df.filter(F.col("seen_at").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
-        part.filter(F.col("seen_at") < F.lit(until).cast("timestamp_ntz")).write.mode("append").parquet(path)
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    for k in order:
+        since, until = ("1970-01-01", *SLICES)[k : k + 2]
+        part = df.filter((F.col("seen_at") >= at(since)) & (F.col("seen_at") < at(until)))
+        part.write.mode("append").parquet(path)
         run(spark.readStream.schema(df.schema).parquet(path))
-        since = until
 
 
 @query
@@ -1172,6 +1236,7 @@ def w1_stream_dedupe(spark, sf):
     _land(
         spark, I.copies(spark, sf),
         lambda s: ingest.run_available(ingest.stream_dedupe(s), ck, "append", path=out),
+        order=(1, 2, 0),  # the oldest copies come last, days after their time
     )
     return spark.read.parquet(out).select("report_id")
 

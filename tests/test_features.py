@@ -97,7 +97,7 @@ def test_cell_features_at_equals_training_row(spark, sf):
     ev = adapter.events(spark, sf)
     rows = cell_features.cell_features(ev)
     when = rows.select(F.max("target_time")).collect()[0][0]
-    train = rows.filter(F.col("target_time") == F.lit(when)).drop("has_warden")
+    train = rows.filter(F.col("target_time") == F.lit(when)).drop("has_event")
     now = cell_features.cell_features_at(ev, F.lit(str(when)))
     rounded = lambda d: d.select(*[F.round(c, 6).alias(c) if d.schema[c].dataType.typeName() == "double" else F.col(c).cast("string").alias(c) for c in sorted(train.columns)])
     a, b = rounded(train), rounded(now)

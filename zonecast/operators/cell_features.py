@@ -114,7 +114,7 @@ def _cell_rows(hourly: DataFrame, window_hours: int, lo, hi) -> DataFrame:
         .alias("upvote_ratio"),
         safe_divide(F.col("r"), F.col("c")).alias("avg_report_count"),
         trailing("n", 24, key).alias("neighbor_24h_count"),
-        (F.sum("cnt").over(ahead) > 0).cast("int").alias("has_warden"),
+        (F.sum("cnt").over(ahead) > 0).cast("int").alias("has_event"),
     )
 
 

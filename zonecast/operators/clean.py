@@ -49,17 +49,28 @@ def dedupe_keep_first(df: DataFrame, key: str = "report_id", tie: Sequence[str]
     return df.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("_r")).select(key, "_r.*")
 
 
-VOTE_FIELDS = ("upvote", "downvote")
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+# The fields of a report that later copies refresh, as far as a table has them.
+REFRESHED = ("upvote", "downvote", "lastupdate_dt", "user_up", "user_down")
 
 
 def refresh_partials(
-    df: DataFrame, key: str = "report_id", mutable: Sequence[str] = VOTE_FIELDS, tie: Sequence[str] = ()
+    df: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED, tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Mergeable state per id: first record, last truthy value of each mutable field, span."""
+    """Mergeable state per id: first record, last value of each mutable field, span.
+
+    A copy without a value leaves the field as it was: null, an empty text, and for
+    numbers 0. The text "0" is a value, so cast votes that come as text afterwards.
+    """
+    mutable = [c for c in mutable if c in df.columns]
     fixed = [c for c in df.columns if c not in (key, *mutable)]
     order = F.struct("seen_at", *tie)
-    truthy = lambda c: F.col(c).isNotNull() & (F.col(c) != 0)
-    start = lambda c: F.struct(order.alias("o"), F.coalesce(F.col(c), F.lit(0)).alias("v"))
+    nothing = {c: F.lit("" if t == "string" else 0) for c, t in df.dtypes if t == "string" or t in NUMBERS}
+    truthy = lambda c: F.col(c).isNotNull() & (F.col(c) != nothing[c] if c in nothing else F.lit(True))
+    start = lambda c: F.struct(
+        order.alias("o"), (F.coalesce(F.col(c), nothing[c]) if c in nothing else F.col(c)).alias("v")
+    )
     return (
         df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
         .groupBy(key)
@@ -77,9 +88,10 @@ def refresh_partials(
 
 
 def merge_partials(
-    partials: DataFrame, key: str = "report_id", mutable: Sequence[str] = VOTE_FIELDS
+    partials: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED
 ) -> DataFrame:
     """Fold any number of partial states into one row per id."""
+    mutable = [c for c in mutable if f"last_{c}" in partials.columns]
     return (
         partials.groupBy(key)
         .agg(
@@ -101,9 +113,9 @@ def merge_partials(
 
 
 def dedupe_refresh(
-    df: DataFrame, key: str = "report_id", mutable: Sequence[str] = VOTE_FIELDS, tie: Sequence[str] = ()
+    df: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED, tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Fixed fields of the first copy, last truthy votes, first and last sighting."""
+    """Fixed fields of the first copy, last values of the others, first and last sighting."""
     return merge_partials(refresh_partials(df, key, mutable, tie), key, mutable)
 
 
@@ -145,6 +157,7 @@ def spot_presence(reports: DataFrame) -> DataFrame:
         .agg(
             F.min("us").alias("t0"),
             F.max("us").alias("t1"),
+            F.count(F.lit(1)).alias("n"),
             F.min("lat").alias("y0"),
             F.max("lat").alias("y1"),
             F.min("lng").alias("x0"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zonecast.functions.geo import safe_divide
 from zonecast.operators.metrics import _top
 from zonecast.operators.spatial import neighbors
-from zonecast.scale import _join_null_safe, exact_quantiles, group_ranks, ordered_rank
+from zonecast.scale import exact_quantiles, group_ranks, histogram_quantiles, ordered_rank, running_totals
 from zonecast.session import materialize
 
 SCORE_COLUMNS = ("score", "probability", "spatial_probability")
@@ -215,15 +215,48 @@ def _corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
+def _histogram(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """(feature, x, n, p): rows and positives of each value, one row for a feature's nulls.
+
+    Everything about one feature and a 0/1 label follows from this; rows are counted
+    before the shuffle and not read again.
+    """
+    long = _long(df, features, target).filter("y IS NOT NULL")
+    return long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
+
+
+def _by_feature(small: DataFrame) -> Column:
+    """A table with one row per feature, thus per column, as literals to look a row's feature up in."""
+    rest = [f for f in small.schema if f.name != "feature"]
+    pairs = [
+        part
+        for row in small.collect()
+        for part in (F.lit(row["feature"]), F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in rest]))
+    ]
+    return F.element_at(F.create_map(*pairs), F.col("feature")) if pairs else F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
+
+
+def _placed(hist: DataFrame) -> DataFrame:
+    """Values that are not null, with the number of rows below each."""
+    known = hist.filter("x IS NOT NULL")
+    return materialize(running_totals(known, [F.col("x")], {"n_below": "n"}, ["feature"]))
+
+
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Pearson and Spearman of each feature with the label; 0 for constant or short ones."""
-    rows = materialize(_long(df, features, target).filter("x IS NOT NULL"))
-    ranked = group_ranks(rows, "x", ["feature"], {"rx": "avg"}, wide=True)
+    """Pearson and Spearman of each feature with a 0/1 label; 0 for constant or short ones."""
     # A binary label's average ranks are a linear map of it, so ranking x is enough.
-    one = ranked.groupBy("feature").agg(
-        _corr("x", "y").alias("p"),
-        _corr("rx", "y").alias("s"),
-        F.count(F.lit(1)).alias("n"),
+    placed = _placed(_histogram(df, features, target)).withColumn("r", F.col("n_below") + (F.col("n") + 1) / F.lit(2.0))
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}")
+    means = placed.groupBy("feature").agg(mean("x"), mean("r"), (F.sum("p") / F.sum("n")).alias("my"))
+    known = _by_feature(means)
+    dx, dr, my = F.col("x") - known["mx"], F.col("r") - known["mr"], known["my"]
+    cross = lambda d: F.sum(d * (F.col("p") - F.col("n") * my))
+    spread = lambda d: F.sum(F.col("n") * d * d)
+    label = F.sum(F.col("p") * (1 - my) * (1 - my) + (F.col("n") - F.col("p")) * my * my)
+    one = placed.groupBy("feature").agg(
+        F.try_divide(cross(dx), F.sqrt(spread(dx) * label)).alias("p"),
+        F.try_divide(cross(dr), F.sqrt(spread(dr) * label)).alias("s"),
+        F.sum("n").alias("n"),
         (F.min("x") == F.max("x")).alias("flat"),
     )
     usable = (F.col("n") >= 3) & ~F.col("flat")
@@ -237,23 +270,28 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> D
     )
 
 
+def _cuts(placed: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    total = _by_feature(placed.groupBy("feature").agg(F.sum("n").alias("n_total")))["n_total"]
+    return histogram_quantiles(placed.withColumn("n_total", total), "x", quantiles, ["feature"])
+
+
 def binned_mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of quantile-binned features with a binary label."""
-    rows = materialize(_long(df, features, target))
-    cuts = exact_quantiles(
-        rows, "x", {"median": 0.5, **{f"q{i}": i / bins for i in range(1, bins)}}, ["feature"]
-    )
-    x = F.coalesce("x", "median")
-    slot = sum(((x > F.col(f"q{i}")).cast("int") for i in range(1, bins)), F.lit(0))
-    cells = (
-        rows.join(cuts, "feature").groupBy("feature", slot.alias("b"), "y").agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_bin = cells.groupBy("feature", "b").agg(F.sum("n").alias("nb"))
-    by_y = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
-    total = cells.groupBy("feature").agg(F.sum("n").alias("nt"))
-    j = cells.join(by_bin, ["feature", "b"]).join(by_y, ["feature", "y"]).join(total, "feature")
-    term = F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("nb") * F.col("ny")))
-    return j.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mutual_info"))
+    """Mutual information (nats) of quantile-binned features with a 0/1 label; nulls take the median."""
+    hist = materialize(_histogram(df, features, target))
+    cuts = _cuts(_placed(hist), {"median": 0.5, **{f"q{i}": i / bins for i in range(1, bins)}})
+    mine = _by_feature(cuts)
+    x = F.coalesce("x", mine["median"])
+    slot = sum((F.coalesce((x > mine[f"q{i}"]).cast("int"), F.lit(0)) for i in range(1, bins)), F.lit(0))
+    cells = hist.groupBy("feature", slot.alias("b")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    total = _by_feature(cells.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p")))
+
+    def term(part: Column, of_label: Column) -> Column:
+        part, of_label = part.cast("double"), of_label.cast("double")
+        inside = part / total["n"] * F.ln(part * total["n"] / (F.col("n") * of_label))
+        return F.when(part > 0, inside).otherwise(F.lit(0.0))
+
+    both = term(F.col("p"), total["p"]) + term(F.col("n") - F.col("p"), total["n"] - total["p"])
+    return cells.groupBy("feature").agg(F.greatest(F.sum(both), F.lit(0.0)).alias("mutual_info"))
 
 
 def categorical_signal(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -312,10 +350,8 @@ def _pair(a: str, b: str) -> Column:
 
 def high_half_positive_rate(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Label rate among rows at or above each feature's median (nulls take the median)."""
-    rows = materialize(_long(df, features, target))
-    med = exact_quantiles(rows, "x", {"median": 0.5}, ["feature"])
-    joined = _join_null_safe(rows, med, ["feature"])
-    high = F.coalesce("x", "median") >= F.col("median")
-    return joined.groupBy("feature").agg(
-        F.max("median").alias("median"), F.avg(F.when(high, F.col("y"))).alias("positive_rate_high")
-    )
+    hist = materialize(_histogram(df, features, target))
+    median = _by_feature(_cuts(_placed(hist), {"median": 0.5}))["median"]
+    high = F.coalesce("x", median) >= median
+    sums = [F.sum(F.when(high, F.col(c))) for c in ("p", "n")]
+    return hist.groupBy("feature").agg(F.max(median).alias("median"), F.try_divide(*sums).alias("positive_rate_high"))

@@ -69,13 +69,13 @@ def _decile(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("p"))
     # ceil(n / 10) as the reference computes it: on the floating product n * 0.1.
     cut = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.1)))
-    joined = (
-        ranked.join(sizes, by)
-        if by
-        else ranked.withColumns(
-            {"n": sizes.select("n").scalar(), "p": sizes.select("p").scalar()}
-        )
-    )
+    # A row per model and fold: packed into one value, so that the ranked rows do not move to meet it.
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    packed = sizes.agg(
+        F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.struct("n", "p").alias("v")))).alias("m")
+    ).scalar()
+    mine = F.element_at(packed, key)
+    joined = ranked.withColumns({"n": mine["n"], "p": mine["p"]})
     top = joined.filter(F.col("rank") <= cut).groupBy(*by).agg(
         F.avg("actual").alias("top"), F.max(F.col("p") / F.col("n")).alias("base")
     )
@@ -220,13 +220,23 @@ def threshold_metrics(df: DataFrame, cut: float = 0.5, by: Sequence[str] = ()) -
     )
 
 
+def _at_threshold(threshold: float) -> list[Column]:
+    over, name = _clip() >= threshold, f"{threshold:g}".replace(".", "_")
+    hit = F.sum(F.when(over, F.col("actual")))
+    return [
+        _zero(F.try_divide(hit, F.count_if(over))).alias(f"precision_at_threshold_{name}"),
+        _zero(F.try_divide(hit, F.sum("actual"))).alias(f"recall_at_threshold_{name}"),
+    ]
+
+
 def score_summary(
     df: DataFrame, by: Sequence[str] = (), ks: Sequence[int] = (20, 50, 100),
-    groups: Sequence[str] = ("district", "region"), hits: bool = False,
+    groups: Sequence[str] = ("district", "region"), hits: bool = False, threshold: float | None = None,
 ) -> DataFrame:
     """All metrics in one row per ``by`` group, from a single distributed ranking.
 
-    ``hits`` adds the per-target-time metrics at 50 and neighbour hits.
+    ``hits`` adds the per-target-time metrics at 50 and neighbour hits, ``threshold``
+    precision and recall of the rows that score as much or more.
     """
     by = list(by)
     marked = df if by else df.withColumn("_all", F.lit(0))
@@ -242,6 +252,7 @@ def score_summary(
         *[_zero(top(k) / F.least(n, F.lit(k))).alias(f"precision_at_{k}") for k in ks],
         *[F.when(p > 0, top(k) / p).otherwise(F.lit(0.0)).alias(f"recall_at_{k}") for k in ks],
         F.avg(err * err).alias("brier_score"),
+        *([] if threshold is None else _at_threshold(threshold)),
     )
     parts = [_decile(ranked, keys), curve_metrics(ranked, keys), expected_calibration_error(ranked, 10, keys)]
     for g in groups:

@@ -30,6 +30,7 @@ ACTIVITY_NUMERIC = (
 )
 ACTIVITY_CATEGORICAL = ("hour_bucket",)
 ZONE_NUMERIC = (
+    "zone_lat", "zone_lng",
     "hour", "day_of_week", "is_weekend",
     "zone_event_count_1h", "zone_event_count_3h", "zone_event_count_24h", "zone_event_count_7d",
     "zone_hours_since_last_event",
@@ -100,10 +101,12 @@ def _doubles(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, target: str) -> DataFrame:
-    """Balanced weights: rows / (2 * rows of the class)."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_c"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.join(counts, target).withColumn("weight", total / (2 * F.col("_c"))).drop("_c")
+    """Balanced weights: rows / (2 * rows of the class). Both class sizes are scalars, so no row moves."""
+    known = df.filter(F.col(target).isNotNull())
+    ones = F.count_if(F.col(target) == 1)
+    sizes = known.agg(F.struct(F.count(F.lit(1)).alias("n"), ones.alias("p")).alias("s")).scalar()
+    mine = F.when(F.col(target) == 1, sizes["p"]).otherwise(sizes["n"] - sizes["p"])
+    return known.withColumn("weight", sizes["n"] / (2 * mine))
 
 
 CANDIDATES: dict[str, Callable[[str], object]] = {
@@ -184,13 +187,15 @@ def evaluate_candidates(
         else splits.walk_forward_splits(frame, n_splits)
     )
     folds = [r["fold"] for r in tags.select("fold").distinct().orderBy("fold").collect()]
-    scored = None
+    scored = used = None
     for fold in folds:
         train = splits.rows_for(frame, tags, fold, "train")
         test = splits.rows_for(frame, tags, fold, "validation")
         if stage == "spatial":
             train = splits.sample_training_rows(train, target)
         train = materialize(train)
+        size = train.agg(F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("train_rows"))
+        used = size if used is None else used.unionByName(size)
         seen = train.agg(F.min(target), F.max(target)).first()
         if seen[0] is None or seen[0] == seen[1]:
             continue
@@ -212,16 +217,43 @@ def evaluate_candidates(
     if scored is None:
         raise ValueError("no fold has both classes in training")
     spatial = stage == "spatial"
-    return metrics.score_summary(
+    summary = metrics.score_summary(
         materialize(scored),
         by=["model", "fold"],
         groups=("district", "region") if spatial else (),
         hits=spatial,
+        threshold=None if spatial else 0.5,
     )
+    return summary.join(fold_volumes(frame, tags), "fold").join(used, "fold")
+
+
+def fold_volumes(frame: DataFrame, tags: DataFrame) -> DataFrame:
+    """Rows and time bounds of both parts of every fold."""
+    per_time = frame.groupBy("target_time").agg(F.count(F.lit(1)).alias("_n"))
+    part = lambda f, c, role: f(F.when(F.col("role") == role, F.col(c)))
+    return (
+        tags.select("target_time", "fold", "role")
+        .join(per_time, "target_time")
+        .groupBy("fold")
+        .agg(
+            part(F.sum, "_n", "train").alias("unsampled_train_rows"),
+            part(F.sum, "_n", "validation").alias("validation_rows"),
+            part(F.min, "target_time", "train").alias("train_start"),
+            part(F.max, "target_time", "train").alias("train_end"),
+            part(F.min, "target_time", "validation").alias("validation_start"),
+            part(F.max, "target_time", "validation").alias("validation_end"),
+        )
+    )
+
+
+VOLUMES = (
+    "train_rows", "unsampled_train_rows", "validation_rows",
+    "train_start", "train_end", "validation_start", "validation_end",
+)
 
 
 def summarize_folds(folds: DataFrame) -> DataFrame:
-    names = [c for c in folds.columns if c not in ("model", "fold", "rows", "positives", "base_rate")]
+    names = [c for c in folds.columns if c not in ("model", "fold", "rows", "positives", "base_rate", *VOLUMES)]
     return metrics.fold_medians(folds, names, spread=("precision_at_20", "average_precision"))
 
 

@@ -19,7 +19,18 @@ from zonecast.session import materialize
 
 _M_PER_DEG = 111_194.926  # metres per degree on the mean sphere
 _FOLD = 2  # a parent cell is 2**_FOLD children wide
-_SLACK = 0.01  # covers the flat-earth error of cell bounds over about 20 degrees
+_SLACK = 0.01  # covers the flat-earth error of cell bounds over _EXTENT degrees
+_EXTENT, _POLAR = 20.0, 75.0
+
+
+def check_extent(queries: DataFrame, candidates: DataFrame) -> None:
+    """Raise where positions span more than the bounds of cells hold for."""
+    both = queries.select(F.col("qy").alias("y"), F.col("qx").alias("x")).union(candidates.select("cy", "cx"))
+    e = both.agg(*[f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))]).first()
+    if e["y0"] is None:
+        return
+    if e["y1"] - e["y0"] > _EXTENT or e["x1"] - e["x0"] > _EXTENT or max(abs(e["y0"]), abs(e["y1"])) > _POLAR:
+        raise ValueError(f"positions must span at most {_EXTENT} degrees, away from the antimeridian and the poles")
 
 
 def leaf_index(value: Column, leaf: float) -> Column:
@@ -118,8 +129,8 @@ def nearest_join(
 
     Both sides carry ``lat`` and ``lng``. Returns group, key, ``distance_m`` and
     the payload of the nearest candidate (smallest payload on ties). Queries whose
-    group has no candidate are absent. Coordinates must lie within one region of
-    about 20 degrees that does not cross the antimeridian.
+    group has no candidate are absent. Coordinates that span over 20 degrees, cross
+    the antimeridian or lie near a pole raise an error.
     """
     group, key, payload = list(group), list(key), list(payload)
     side = lambda df, s, *cols: materialize(
@@ -134,6 +145,7 @@ def nearest_join(
     )
     q = side(queries, "q", *key)
     c = side(candidates, "c", *[F.col(p).alias(f"_c_{p}") for p in payload])
+    check_extent(q, c)
     by = group or ["_g"]
     d = haversine_m(F.col("qy"), F.col("qx"), F.col("cy"), F.col("cx"))
     met = (

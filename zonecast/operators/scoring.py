@@ -47,6 +47,7 @@ def combine_scores(df: DataFrame) -> DataFrame:
     return _ranked(scored).withColumn("risk_band", risk_band(F.col("probability")))
 
 
+# Weights of the recent prior.
 PRIOR_WEIGHTS = {
     "zone_event_count_24h": 0.45,
     "neighbor_event_count_24h": 0.25,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Published columns that are whole numbers or reals.
 WHOLE = (
     "resolution", "has_observed_history", "is_zero_history", "event_count", "district_event_count",
     "region_event_count", "has_drivable_road", "road_source_mismatch", "road_segment_count",
@@ -114,9 +115,13 @@ def prediction_rows(preferred: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def latest_per_zone(predictions: DataFrame) -> DataFrame:
-    """Newest row per zone; within a time the best rank, then the best score."""
+    """Newest row per zone; within a time the best rank, then the best score, then the largest other columns."""
     rank = F.coalesce(F.col("rank"), F.lit(10**9)) if "rank" in predictions.columns else F.lit(10**9)
-    order = F.struct("target_time", (-rank).alias("r"), "score")
+    when = F.col("target_time")
+    if predictions.schema["target_time"].dataType.simpleString() == "string":
+        when = F.coalesce(when.try_cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    rest = sorted(c for c in predictions.columns if c not in ("zone_id", "target_time", "rank", "score"))
+    order = F.struct(when.alias("t"), (-rank).alias("r"), "score", *rest)
     others = [c for c in predictions.columns if c != "zone_id"]
     return (
         predictions.filter("zone_id <> ''")

@@ -24,7 +24,7 @@ def clean_events(reports: DataFrame) -> DataFrame:
 def train_and_forecast(events: DataFrame, at: Column, model: str = "random_forest_balanced") -> DataFrame:
     """Train the cell model on history and score every cell at one moment."""
     rows = materialize(cell_features.cell_features(events))
-    fitted, rate = models.fit(model, rows, "has_warden", models.CELL_NUMERIC, models.CELL_CATEGORICAL)
+    fitted, rate = models.fit(model, rows, "has_event", models.CELL_NUMERIC, models.CELL_CATEGORICAL)
     now = cell_features.cell_features_at(events, at)
     scored = models.predict(fitted, now, models.CELL_NUMERIC, rate, "probability")
     return scoring.cell_forecast(scored, events, at)

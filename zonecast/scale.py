@@ -61,6 +61,20 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
 
 
+def _with_offsets(placed: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Attach the offsets of a row's block.
+
+    Without groups there is one offset row per partition: they travel as one value and
+    no row moves. With groups there may be many, so they are joined.
+    """
+    if group:
+        return _join_null_safe(placed, offsets, ["_block", *group])
+    names = [c for c in offsets.columns if c != "_block"]
+    entries = F.collect_list(F.struct(F.col("_block").alias("k"), F.struct(*names).alias("v")))
+    mine = F.element_at(offsets.agg(F.map_from_entries(entries).alias("m")).scalar(), F.col("_block"))
+    return placed.withColumns({c: mine[c] for c in names})
+
+
 def ordered_rank(
     df: DataFrame,
     order: Sequence[Column],
@@ -78,7 +92,7 @@ def ordered_rank(
     )
     offsets = _block_offsets(blocks, group, {"n": "n"})
     return (
-        _join_null_safe(placed, offsets, ["_block", *group])
+        _with_offsets(placed, offsets, group)
         .withColumn(name, (F.col("_before_n") + F.col("_slot") - F.col("_first") + 1).cast("bigint"))
         .drop("_slot", "_block", "_before_n", "_first")
     )
@@ -110,7 +124,7 @@ def running_totals(
             for out, src in sums.items()
         ],
     )
-    joined = _join_null_safe(summed, offsets, ["_block", *group])
+    joined = _with_offsets(summed, offsets, group)
     for out in sums:
         joined = joined.withColumn(out, F.col(f"_in_{out}") + F.col(f"_before_{out}"))
     drop = [f"_in_{o}" for o in sums] + [f"_before_{o}" for o in sums]
@@ -181,19 +195,25 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group, nulls ignored."""
     known = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_q"))
-    hist = value_histogram(known, "_q", group, wide)
+    return histogram_quantiles(value_histogram(known, "_q", group, wide), "_q", quantiles, group)
+
+
+def histogram_quantiles(
+    hist: DataFrame, value: str, quantiles: dict[str, float], group: Sequence[str] = ()
+) -> DataFrame:
+    """Interpolated quantiles from rows of (value, n, n_below, n_total) per group."""
     first, last = F.col("n_below"), F.col("n_below") + F.col("n") - 1
     outs = []
     for name, q in quantiles.items():
         pos = (F.col("n_total") - 1) * F.lit(float(q))
         low, high = F.floor(pos), F.ceil(pos)
-        at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col("_q")))
+        at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value)))
         frac = F.max(pos - low)
         outs.append((at(low) + (at(high) - at(low)) * frac).cast("double").alias(name))
     return hist.groupBy(*group).agg(*outs)
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: ``(node, label)`` with label = smallest node reached.
 
     Each round takes the smallest neighbouring label and then follows it one hop
@@ -205,7 +225,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         .distinct()
     )
     labels = materialize(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(max_rounds):
+    while True:
         offered = (
             both.join(labels.withColumnRenamed("node", "dst"), "dst")
             .groupBy(F.col("src").alias("node"))
@@ -223,4 +243,3 @@ def component_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -
         labels = jumped.select("node", "label")
         if jumped.filter("label <> old").isEmpty():
             return labels
-    raise RuntimeError("component labels did not settle; raise max_rounds")

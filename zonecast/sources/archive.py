@@ -61,13 +61,17 @@ def _struct() -> str:
     return ", ".join(part.strip().replace(" ", ": ", 1) for part in RECORD.split(","))
 
 
-_OBJECT = r'"([^"\\]+)"\s*:\s*(\{[^{}]*\})'
+# One flat record with its id; braces inside quoted text belong to the text. Possessive, so long texts need no stack.
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+_OBJECT = rf'"((?:[^"\\]++|\\.)++)"\s*+:\s*+(\{{(?:[^{{}}"]++|{_TEXT})*+\}})'
 
 
 def salvage_reports(files: DataFrame, text: str = "value", source: str = "path") -> tuple[DataFrame, DataFrame]:
-    """Complete flat records of damaged archives, and the pieces that do not parse.
+    """Complete flat records of damaged archives, and what is left of each file.
 
-    Works per file; every ``"id": {...}`` piece inside is cut out and parsed alone.
+    Works per file; every ``"id": {...}`` piece inside is cut out and parsed alone. The second
+    table holds the pieces that do not parse and, without an id, the text between and after
+    the pieces where it is more than separators: cut-off tails, nested records.
     """
     # Everything before the alerts map (other objects included) is not a record.
     body = F.get(F.split(F.col(text), r'"alerts"\s*:\s*\{', 2), F.lit(1))
@@ -91,7 +95,9 @@ def salvage_reports(files: DataFrame, text: str = "value", source: str = "path")
     )
     good = parsed.filter("r._corrupt_record IS NULL").select(source, *_typed(F.col("k"), F.col("r")))
     bad = parsed.filter("r._corrupt_record IS NOT NULL").select(source, "k", "raw")
-    return good, bad
+    rest = files.select(source, F.coalesce(F.regexp_replace(body, _OBJECT, ""), F.col(text)).alias("raw"))
+    rest = rest.filter(F.col("raw").rlike(r"[^\s,{}]")).select(source, F.lit(None).cast("string").alias("k"), "raw")
+    return good, bad.unionByName(rest)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -188,6 +194,29 @@ def write_csv_mart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The features of GeoJSON FeatureCollections, one JSON text per row in ``value``."""
+    raw = spark.read.schema("features array<string>").json(path, multiLine=True)
+    return raw.select(F.explode("features").alias("value"))
+
+
+def explode_polygons(features: DataFrame, name: str = "name", json: str = "value") -> DataFrame:
+    """Polygon features (one JSON per row) to (poly_id, name, properties, rings).
+
+    ``rings`` has the rings of all parts, holes included: a point is inside where it
+    crosses an odd number of edges. Features without a name, or of another kind, are
+    skipped; a repeated feature counts once.
+    """
+    f = F.from_json(json, "properties map<string,string>, geometry struct<type: string, coordinates: string>")
+    raw = features.select(json).distinct().select(F.xxhash64(json).alias("poly_id"), f.alias("f"))
+    kind, coords = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(coords, "array<array<array<double>>>")).when(
+        kind == "MultiPolygon", F.flatten(F.from_json(coords, "array<array<array<array<double>>>>"))
+    )
+    named = raw.select("poly_id", F.col("f.properties")[name].alias("name"), F.col("f.properties").alias("properties"), rings.alias("rings"))
+    return named.filter("coalesce(trim(name), '') <> '' AND rings IS NOT NULL")
+
+
 LINE_FEATURE = (
     "type string, properties struct<highway: string, name: string, ref: string>, "
     "geometry struct<type: string, coordinates: string>"

@@ -12,16 +12,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.operators.clean import VOTE_FIELDS, merge_partials, refresh_partials
+from zonecast.operators.clean import REFRESHED, merge_partials, refresh_partials
 
 
 def event_time(df: DataFrame, column: str, lateness: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
-def stream_dedupe(stream: DataFrame, key: str = "report_id", time: str = "seen_at", lateness: str = "2 hours") -> DataFrame:
-    """First copy per id; ids are remembered for the watermark only."""
-    return event_time(stream, time, lateness).dropDuplicatesWithinWatermark([key])
+def stream_dedupe(stream: DataFrame, key: str = "report_id") -> DataFrame:
+    """First copy per id, however late it comes.
+
+    Every id stays in the state store, as no age tells that an id will not return;
+    set the RocksDB provider to keep that state on disk and its changes incremental.
+    """
+    return stream.dropDuplicates([key])
 
 
 def _slot(path: str, batch_id: int) -> str:
@@ -50,20 +54,17 @@ def refresh_sink(path: str, log_path: str, tie: Sequence[str] = ()) -> Callable[
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0)
-        return True
-    except Exception as error:  # an empty or absent folder
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
+    """Whether a batch was written to the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(at) and len(files.listStatus(at)) > 0
 
 
 def _states(spark: SparkSession, path: str, where: str) -> DataFrame | None:
     return spark.read.parquet(path).filter(where) if _exists(spark, path) else None
 
 
-def read_refreshed(spark: SparkSession, path: str, mutable: Sequence[str] = VOTE_FIELDS) -> DataFrame:
+def read_refreshed(spark: SparkSession, path: str, mutable: Sequence[str] = REFRESHED) -> DataFrame:
     """Current reports: all batch states folded per id."""
     return merge_partials(spark.read.parquet(path).drop("batch_id"), mutable=mutable)
 
