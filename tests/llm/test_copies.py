@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm import odd
 from zonecast.llm import minhash, vectors
+from zonecast.llm import components as component_module
 from zonecast.llm.components import components
 from zonecast.llm.queries import QUERIES
 
@@ -49,7 +50,9 @@ def brute_force(texts, width, percent):
 
 
 @pytest.mark.parametrize("shape", ["chain", "star", "pairs", "random"])
-def test_components(spark, shape):
+@pytest.mark.parametrize("rows", [50, 10**6])
+def test_components(spark, shape, rows, monkeypatch):
+    monkeypatch.setattr(component_module, "ROWS", rows)
     pick = random.Random(3)
     links = {
         "chain": [(i, i + 1) for i in range(300)],
