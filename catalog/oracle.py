@@ -622,6 +622,24 @@ def zone_q(cols: str) -> str:
     return q(f"SELECT target_time, zone_id, {cols} FROM zb", "zb")
 
 
+_EDGE, _SCALE = geo.hex_edge_m(9), geo._lng_scale()
+_CORNER = """SELECT zone_id, {k} corner, round({lng}+(CAST(split_part(zone_id,':',2) AS DOUBLE)+CAST(split_part(zone_id,':',3) AS DOUBLE)/2e0)*{dx}+{x},6) lng,
+ round({lat}+CAST(split_part(zone_id,':',3) AS DOUBLE)*{dy}+{y},6) lat FROM (SELECT DISTINCT zone_id FROM ev)"""
+O["g8_hex_polygon"] = q(
+    " UNION ALL ".join(
+        _CORNER.format(
+            k=k,
+            lng=d(geo.HEX_ORIGIN[1]),
+            lat=d(geo.HEX_ORIGIN[0]),
+            dx=d(math.sqrt(3.0) * _EDGE / _SCALE),
+            dy=d(1.5 * _EDGE / geo.M_PER_LAT),
+            x=d(_EDGE * math.cos(math.radians(60 * (k % 6) + 30)) / _SCALE),
+            y=d(_EDGE * math.sin(math.radians(60 * (k % 6) + 30)) / geo.M_PER_LAT),
+        )
+        for k in range(7)
+    ),
+    "ev",
+)
 O["z1_label"] = zone_q("fut event_count_next_horizon, actual alert_next_2h")
 O["z1_label_30m"] = zone_q("fut30 event_count_next_horizon, CAST(fut30>0 AS INTEGER) alert_next_30m")
 O["z2_zone_counts"] = zone_q("c1 zone_event_count_1h, c3 zone_event_count_3h, c24 zone_event_count_24h, c7 zone_event_count_7d")
@@ -1008,6 +1026,12 @@ O["k1_combine_scores"] = q(
     "stg",
 )
 O["k2_activity_lookup"] = q("SELECT target_time, zone_id, round(ap_,6) activity_probability FROM stg", "stg")
+O["i8_geojson_features"] = q(
+    """SELECT zone_id, round(score,6) score, risk_rank, district, 'Polygon' kind, 7::BIGINT points FROM (
+ SELECT *, row_number() OVER (ORDER BY score DESC, zone_id) risk_rank FROM sc WHERE target_time=(SELECT max(target_time) FROM sc)) WHERE risk_rank<=200""",
+    "sc",
+)
+O["l7_model_io"] = q("SELECT count(*) scored, count(*) same FROM cc", "cc")
 O["k2_activity_lookup_gaps"] = q("SELECT target_time, zone_id, round(ap_,6) activity_probability FROM stg_gaps", "stg_gaps")
 
 

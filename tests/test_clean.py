@@ -123,3 +123,14 @@ def test_partial_states_fold_in_any_split(spark, sf):
         clean.refresh_partials(df.filter(cut)).unionByName(clean.refresh_partials(df.filter(~cut)))
     )
     assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+
+
+def test_refresh_takes_text_zeros_and_all_fields(spark):
+    schema = "report_id string, seen_at timestamp_ntz, upvote string, downvote string, lastupdate_dt string, user_up string, user_down string, address string"
+    rows = [
+        ("x", t("2026-06-01 10:00:00"), "3", "1", "10:00", "u1", None, "first"),
+        ("x", t("2026-06-01 11:00:00"), "0", None, "11:00", "", "d2", "second"),
+        ("x", t("2026-06-01 12:00:00"), "", "2", None, None, None, "third"),
+    ]
+    (got,) = clean.dedupe_refresh(spark.createDataFrame(rows, schema)).collect()
+    assert (got.upvote, got.downvote, got.lastupdate_dt, got.user_up, got.user_down, got.address) == ("0", "2", "11:00", "u1", "d2", "first")

@@ -61,17 +61,19 @@ def _struct() -> str:
     return ", ".join(part.strip().replace(" ", ": ", 1) for part in RECORD.split(","))
 
 
-# One flat record with its id; braces inside quoted text belong to the text. Possessive, so long texts need no stack.
+# One record with its id; braces inside quoted text belong to the text, and a record may hold objects two levels
+# deep. Possessive, so long texts need no stack.
 _TEXT = r'"(?:[^"\\]++|\\.)*+"'
-_OBJECT = rf'"((?:[^"\\]++|\\.)++)"\s*+:\s*+(\{{(?:[^{{}}"]++|{_TEXT})*+\}})'
+_INNER = rf'\{{(?:[^{{}}"]++|{_TEXT}|\{{(?:[^{{}}"]++|{_TEXT})*+\}})*+\}}'
+_OBJECT = rf'"((?:[^"\\]++|\\.)++)"\s*+:\s*+(\{{(?:[^{{}}"]++|{_TEXT}|{_INNER})*+\}})'
 
 
 def salvage_reports(files: DataFrame, text: str = "value", source: str = "path") -> tuple[DataFrame, DataFrame]:
-    """Complete flat records of damaged archives, and what is left of each file.
+    """Complete records of damaged archives, and what is left of each file.
 
     Works per file; every ``"id": {...}`` piece inside is cut out and parsed alone. The second
-    table holds the pieces that do not parse and, without an id, the text between and after
-    the pieces where it is more than separators: cut-off tails, nested records.
+    table holds the pieces that do not parse or have no field of a record and, without an
+    id, the text between and after the pieces where it is more than separators: cut-off tails.
     """
     # Everything before the alerts map (other objects included) is not a record.
     body = F.get(F.split(F.col(text), r'"alerts"\s*:\s*\{', 2), F.lit(1))
@@ -93,8 +95,10 @@ def salvage_reports(files: DataFrame, text: str = "value", source: str = "path")
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
         ).alias("r"),
     )
-    good = parsed.filter("r._corrupt_record IS NULL").select(source, *_typed(F.col("k"), F.col("r")))
-    bad = parsed.filter("r._corrupt_record IS NOT NULL").select(source, "k", "raw")
+    fields = [part.split()[0] for part in RECORD.split(", ")]
+    known = F.col("r._corrupt_record").isNull() & F.coalesce(*[F.col(f"r.{f}") for f in fields]).isNotNull()
+    good = parsed.filter(known).select(source, *_typed(F.col("k"), F.col("r")))
+    bad = parsed.filter(~known).select(source, "k", "raw")
     rest = files.select(source, F.coalesce(F.regexp_replace(body, _OBJECT, ""), F.col(text)).alias("raw"))
     rest = rest.filter(F.col("raw").rlike(r"[^\s,{}]")).select(source, F.lit(None).cast("string").alias("k"), "raw")
     return good, bad.unionByName(rest)
