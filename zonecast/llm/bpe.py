@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,8 @@ from zonecast.llm.packing import byte_letters
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed: the pattern that the vocabulary's words follow.
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: The same for lower-case ASCII, where Python's own engine is faster.
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _GAPS = re.compile(f"[{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -30,7 +33,7 @@ _NONE = 1 << 62
 _SHIFT, _MASK = 20, (1 << 20) - 1
 #: Words of more parts than this take a heap in place of scans.
 SHORT = 200
-#: Encoded chunks that a worker remembers; it starts anew beyond that.
+#: Encoded chunks, and words of several chunks, that a worker remembers; it starts anew beyond that.
 REMEMBERED = 200_000
 
 
@@ -56,6 +59,7 @@ class WordBpe:
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         """Ids of a word: part boundaries and the ranks of adjacent parts stand side by side in two short lists."""
@@ -107,20 +111,33 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids, as little-endian unsigned 32-bit, of text without white space."""
-        ids: list[int] = []
+        found: list[bytes] = []
         for piece in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
             if piece in self.special:
-                ids.append(self.special[piece])
+                found.append(struct.pack("<I", self.special[piece]))
+            elif piece.isascii():
+                plain = piece.lower()
+                found += map(self.remembered_word, (plain,) if plain.isalpha() else _ASCII_WORD.findall(plain))
             else:
                 plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in WORD.findall(plain):
-                    ids += self.word(word)
-        found = np.array(ids, "<u4").tobytes()
+                found += map(self.remembered_word, WORD.findall(plain))
+        ids = b"".join(found)
         if len(chunk) < 100:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[chunk] = found
-        return found
+            self.known[chunk] = ids
+        return ids
+
+    def remembered_word(self, word: str) -> bytes:
+        ids = self.known_words.get(word)
+        if ids is None:
+            parts = self.word(word)
+            ids = struct.pack(f"<{len(parts)}I", *parts)
+            if len(word) < 100:
+                if len(self.known_words) >= REMEMBERED:
+                    self.known_words.clear()
+                self.known_words[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Words end at white space, so that a text's ids are those of its chunks in turn."""
