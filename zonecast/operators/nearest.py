@@ -23,14 +23,23 @@ _SLACK = 0.01  # covers the flat-earth error of cell bounds over _EXTENT degrees
 _EXTENT, _POLAR = 20.0, 75.0
 
 
-def check_extent(queries: DataFrame, candidates: DataFrame) -> None:
-    """Raise where positions span more than the bounds of cells hold for."""
+def check_extent(queries: DataFrame, candidates: DataFrame) -> float:
+    """Degrees that positions span; raise where that is more than the bounds of cells hold for."""
     both = queries.select(F.col("qy").alias("y"), F.col("qx").alias("x")).union(candidates.select("cy", "cx"))
     e = both.agg(*[f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))]).first()
     if e["y0"] is None:
-        return
+        return 0.0
     if e["y1"] - e["y0"] > _EXTENT or e["x1"] - e["x0"] > _EXTENT or max(abs(e["y0"]), abs(e["y1"])) > _POLAR:
         raise ValueError(f"positions must span at most {_EXTENT} degrees, away from the antimeridian and the poles")
+    return max(e["y1"] - e["y0"], e["x1"] - e["x0"])
+
+
+def coarse_level(extent: float, leaf: float) -> int:
+    """The lowest level at which an axis has at most four cells, so that few pairs start the search."""
+    level = 0
+    while extent > 4 * leaf * 2 ** (_FOLD * level):
+        level += 1
+    return level
 
 
 def leaf_index(value: Column, leaf: float) -> Column:
@@ -123,7 +132,6 @@ def nearest_join(
     key: Sequence[str],
     payload: Sequence[str] = (),
     leaf: float = 0.02,
-    levels: int = 3,
 ) -> DataFrame:
     """Nearest candidate of every query row that shares its ``group``.
 
@@ -145,7 +153,7 @@ def nearest_join(
     )
     q = side(queries, "q", *key)
     c = side(candidates, "c", *[F.col(p).alias(f"_c_{p}") for p in payload])
-    check_extent(q, c)
+    levels = coarse_level(check_extent(q, c), leaf)
     by = group or ["_g"]
     d = haversine_m(F.col("qy"), F.col("qx"), F.col("cy"), F.col("cx"))
     met = (
