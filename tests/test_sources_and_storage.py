@@ -101,3 +101,20 @@ def test_fold_rows_carry_volumes_and_thresholds(spark):
         assert r.train_rows == r.unsampled_train_rows > 0 and r.validation_rows == r.rows and r.train_end < r.validation_start
         assert 0 <= r.precision_at_threshold_0_5 <= 1 and 0 <= r.recall_at_threshold_0_5 <= 1
     assert "median_precision_at_threshold_0_5" in models.summarize_folds(got).columns
+
+
+def test_refresh_state_reads_only_touched_buckets(spark, tmp_path):
+    state, log = str(tmp_path / "state"), str(tmp_path / "log")
+    sink = ingest.refresh_sink(state, log)
+    schema = "report_id string, seen_at timestamp_ntz, upvote long, address string"
+    for k in range(6):
+        rows = [(str(i), t(f"2026-06-01 1{k}:00:00"), k, f"at {k}") for i in range(k, k + 3)] + [(None, t(f"2026-06-01 1{k}:00:00"), 1, "none")]
+        sink(spark.createDataFrame(rows, schema), k)
+    sink(spark.createDataFrame([("0", t("2026-06-01 18:00:00"), 9, "late")], schema), 6)
+    sink(spark.createDataFrame([], schema), 7)
+    now = {r.report_id: (r.upvote, r.address) for r in ingest.read_refreshed(spark, state).collect()}
+    assert now == {"0": (9, "at 0"), **{str(i): (min(i, 5), f"at {max(i - 2, 0)}") for i in range(1, 8)}}
+    counts = [(r.total_reports, r.new_reports) for r in ingest.read_batch_log(spark, log).orderBy("batch_id").collect()]
+    assert counts == [(4, 3), *[(4, 1)] * 5, (1, 0), (0, 0)]
+    part = spark.read.parquet(state).filter("bucket IN (3, 4)")
+    assert "bucket" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]

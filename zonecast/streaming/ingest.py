@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from zonecast.operators.clean import REFRESHED, merge_partials, refresh_partials
 
@@ -32,23 +33,35 @@ def _slot(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
+#: Folders that the state of a refresh stream is dealt to by id.
+BUCKETS = 64
+
+
 def refresh_sink(path: str, log_path: str, tie: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of mergeable per-id states plus one log row per batch.
 
-    State is append-only; readers fold it with :func:`read_refreshed`.
+    State is append-only, in buckets by id: a batch reads only the ids of the buckets that it
+    touches. Readers fold it with :func:`read_refreshed`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        partials = refresh_partials(batch, tie=tie)
-        known = _states(spark, path, f"batch_id < {batch_id}")
-        partials.write.mode("overwrite").parquet(_slot(path, batch_id))
-        mine = spark.read.parquet(_slot(path, batch_id)).select("report_id")
-        fresh = mine if known is None else mine.join(known.select("report_id"), "report_id", "left_anti")
+        batch.persist()
+        bucket = F.pmod(F.xxhash64("report_id"), F.lit(BUCKETS)).cast("int")
+        partials = refresh_partials(batch, tie=tie).withColumn("bucket", bucket)
+        known = _states(spark, path, partials.schema, f"batch_id < {batch_id}")
+        partials.write.mode("overwrite").partitionBy("bucket").parquet(_slot(path, batch_id))
+        mine = spark.read.schema(partials.schema).parquet(_slot(path, batch_id)).select("report_id", "bucket")
+        fresh = mine
+        if known is not None:
+            touched = [r["bucket"] for r in mine.select("bucket").distinct().collect()]
+            seen = known.filter(F.col("bucket").isin(touched)).select("report_id")
+            fresh = mine.join(seen, "report_id", "left_anti")
         row = batch.agg(
             F.count(F.lit(1)).alias("total_reports"), F.max("seen_at").alias("timestamp")
         ).withColumn("new_reports", fresh.agg(F.count(F.lit(1)).alias("n")).scalar())
         row.write.mode("overwrite").parquet(_slot(log_path, batch_id))
+        batch.unpersist()
 
     return write
 
@@ -60,13 +73,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at) and len(files.listStatus(at)) > 0
 
 
-def _states(spark: SparkSession, path: str, where: str) -> DataFrame | None:
-    return spark.read.parquet(path).filter(where) if _exists(spark, path) else None
+def _states(spark: SparkSession, path: str, schema: StructType, where: str) -> DataFrame | None:
+    if not _exists(spark, path):
+        return None
+    return spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(path).filter(where)
 
 
 def read_refreshed(spark: SparkSession, path: str, mutable: Sequence[str] = REFRESHED) -> DataFrame:
     """Current reports: all batch states folded per id."""
-    return merge_partials(spark.read.parquet(path).drop("batch_id"), mutable=mutable)
+    return merge_partials(spark.read.parquet(path).drop("batch_id", "bucket"), mutable=mutable)
 
 
 def read_batch_log(spark: SparkSession, log_path: str) -> DataFrame:
@@ -112,7 +127,10 @@ def zone_counts(
 def stream_sessions(
     stream: DataFrame, key: str = "grid_cell", gap: str = "15 minutes", time: str = "ts", lateness: str = "2 hours"
 ) -> DataFrame:
-    """Activity sessions per key, closed after a silent gap."""
+    """Activity sessions per key, closed after a silent gap.
+
+    In append mode a session is emitted once the watermark has passed it, and its state is dropped.
+    """
     timed = event_time(stream, time, lateness)
     return (
         timed.groupBy(F.session_window(time, gap).alias("w"), key)
