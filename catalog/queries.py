@@ -1185,7 +1185,7 @@ def y4_time_profile(spark, sf):
     return h.withColumn("grain", F.lit("hour")).unionByName(d.withColumn("grain", F.lit("day")))
 
 
-def _published(spark, sf) -> DataFrame:
+def _published(spark, sf, preferred: str = "score IS NULL") -> DataFrame:
     s = I.scored(spark, sf)
     pos = F.col("zone_event_count_7d") % 3
     single = s.select(
@@ -1194,7 +1194,7 @@ def _published(spark, sf) -> DataFrame:
         F.when(pos == 0, F.lit("")).otherwise((F.col("score") / 2).cast("string")).alias("probability"),
         F.when(pos == 1, F.lit("")).otherwise(F.col("zone_event_count_24h").cast("string")).alias("rank"),
     )
-    return serving.prediction_rows(single.filter("score IS NULL"), single)
+    return serving.prediction_rows(single.filter(preferred), single)
 
 
 @query
@@ -1202,6 +1202,12 @@ def y5_prediction_rows(spark, sf):
     return r6(_published(spark, sf)).select("target_time", "zone_id", "score", "probability", "rank")
 
 
+@query
+def y5_prediction_rows_preferred(spark, sf):
+    """With rows on the preferred side, which then stand alone."""
+    return r6(_published(spark, sf, "rank <> ''")).select("target_time", "zone_id", "score", "probability", "rank")
+
+
 @query
 def y6_latest_per_zone(spark, sf):
     return r6(serving.latest_per_zone(_published(spark, sf))).select(
@@ -1217,14 +1223,23 @@ def y7_zone_overlay(spark, sf):
     return archive.geojson_features(got, "ring", ["zone_id", "district", "event_count", "score", "probability"])
 
 
-@query
-def y8_model_metrics(spark, sf):
-    m = _fold_summary(spark, sf).select(
+def _model_rows(spark, sf) -> DataFrame:
+    return _fold_summary(spark, sf).select(
         (F.col("fold") * 30).cast("string").alias("horizon_minutes"), F.col("model").alias("chosen_model"),
         F.col("precision_at_20").alias("median_precision_at_20"),
     )
-    got = serving.model_metrics(m.filter("chosen_model = 'none'"), m.filter("chosen_model = 'a'"))
-    return r6(got)
+
+
+@query
+def y8_model_metrics(spark, sf):
+    m = _model_rows(spark, sf)
+    return r6(serving.model_metrics(m.filter("chosen_model = 'none'"), m.filter("chosen_model = 'a'")))
+
+
+@query
+def y8_model_metrics_preferred(spark, sf):
+    m = _model_rows(spark, sf)
+    return r6(serving.model_metrics(m.filter("chosen_model = 'a'"), m.filter("chosen_model = 'b'")))
 
 
 # --- streaming --------------------------------------------------------------------------
