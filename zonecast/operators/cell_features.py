@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import cell_name, cell_part, safe_divide
-from zonecast.functions.timecols import floor_hour, hours, seconds_between, with_calendar
+from zonecast.functions.timecols import hours, seconds_between, with_calendar
 from zonecast.operators.windows import (
     axis_bounds,
     before,
