@@ -34,7 +34,7 @@ def _slot(path: str, batch_id: int) -> str:
 
 
 #: Folders that the state of a refresh stream is dealt to by id.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def refresh_sink(path: str, log_path: str, tie: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
