@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zonecast.llm import minhash, packing, pii, quality_model, quality_rules
 from zonecast.llm.common import stored, table
@@ -30,8 +31,9 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that remain, each a sequence."""
-    return packing.packed(docs)
+    """Pieces of the documents that remain, each a sequence: their ids, with the checksum beside them."""
+    pieces = packing.pack_pieces(docs, packing.byte_vocabulary())
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -106,11 +106,16 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
     pieces.write.partitionBy("bucket").parquet(path)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """The pieces of ``docs`` with a checksum in place of their ids."""
+def byte_vocabulary() -> str:
+    """Path of the tokenizers file that pieces are encoded with."""
     import public_tokenizers
 
-    pieces = pack_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` with a checksum in place of their ids: what ``op3_packing`` shows, not a product."""
+    pieces = pack_pieces(docs, byte_vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
