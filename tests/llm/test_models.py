@@ -60,3 +60,18 @@ def test_classifiers_take_odd_tables(spark):
     none = odd.empty(spark)
     assert not quality_model.fit(none, labels(spark, none, "quality").limit(0), "quality", 5, 0).any()
     assert np.isfinite(toxicity.fit(none, labels(spark, none, "toxic").limit(0)).weights).all()
+
+
+def test_op5_counts_all_but_the_bounded_sample(spark, monkeypatch):
+    """Rows of every remainder that may be learnt from are counted; only about as many as the bound are set aside."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('common word', id, ' text') AS text")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    counted = []
+    real = toxicity.expression_counts
+    monkeypatch.setattr(toxicity, "expression_counts", lambda d: counted.append({r.doc_id for r in d.select("doc_id").collect()}) or real(d))
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 100)
+    toxicity.fit(docs, labels)
+    rest = {i: zlib.crc32(str(i).encode()) % 4 for i in range(4000)}
+    allowed = {i for i, r in rest.items() if r != 2}
+    assert counted[0] <= allowed and 50 < len(allowed - counted[0]) < 200
+    assert {rest[i] for i in counted[0]} == {0, 1, 3}

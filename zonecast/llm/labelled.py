@@ -38,3 +38,11 @@ def sampled(labels: DataFrame, rows: int, most: int) -> DataFrame:
     if rows <= most:
         return labels
     return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(most / rows * (1 << 20)))
+
+
+def set_aside(labels: DataFrame, rows: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """A sample for the final weights, chosen by a hash of the id, and every other label: at most about ``most`` of
+    ``rows`` in the sample, and about a third where there are few."""
+    bound = min(most / max(rows, 1), 1 / 3)
+    mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(bound * (1 << 20))
+    return labels.where(mine), labels.where(~mine)

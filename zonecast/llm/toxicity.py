@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.llm.common import slices, stored, table, texts_of
-from zonecast.llm.labelled import agreed_labels, held_out, remainder, sampled, with_labels
+from zonecast.llm.labelled import agreed_labels, held_out, set_aside, with_labels
 
 #: A word is the pair of its first letters and the rest.
 STEM = 4
@@ -110,7 +110,7 @@ def expression_counts(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both tables of log ratios from the counts of all labelled documents.
+    """Both tables of log ratios from the counts of all labelled documents but the held-out ones and the bounded sample.
 
     P(word) = P(stem) P(rest | stem), per class. Each factor is the discounted count of the class plus a share of
     a distribution that both classes have in common: how many distinct rests follow a stem, how many distinct stems
@@ -174,16 +174,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, out: int = 2) -> Model:
-    """Counts from every labelled document of one half of the remainders, final weights from a sample of the others.
+    """Counts from every labelled document but a bounded sample, final weights from that sample.
 
     The counts grow with the labels; they are joined and reduced by Spark, only the tables of fixed size and the
     sample's figures (five numbers each) reach the driver.
     """
     rows = stored(agreed_labels(labels, label, modulus, out))
-    last = max(r for r in range(modulus) if r != out)
-    count, rest = rows.where(remainder(modulus) != last), rows.where(remainder(modulus) == last)
+    size = rows.count()
+    few, most = set_aside(rows, size, MOST_ROWS)
     model = Model()
-    model.stems, model.words = log_ratios(stored(expression_counts(with_labels(docs, count, count.count()))))
+    model.stems, model.words = log_ratios(stored(expression_counts(with_labels(docs, most, size))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
             x = shared.value.figures(texts_of(batch))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    size = rest.count()
-    sample = with_labels(docs, sampled(rest, size, MOST_ROWS), min(size, MOST_ROWS))
+    sample = with_labels(docs, few, min(size, MOST_ROWS))
     got = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").toPandas()
     if got["y"].nunique() == 2:
         model.weights = logistic(np.stack(got["x"]), got["y"].to_numpy(float))
