@@ -75,3 +75,33 @@ def test_op5_counts_all_but_the_bounded_sample(spark, monkeypatch):
     allowed = {i for i, r in rest.items() if r != 2}
     assert counted[0] <= allowed and 50 < len(allowed - counted[0]) < 200
     assert {rest[i] for i in counted[0]} == {0, 1, 3}
+
+
+def test_op5_words_keep_their_own_ratios(spark, monkeypatch):
+    """Ratios belong to words, whatever their checksums; an unknown word has its stem's rest, or nothing; joined or held, all the same."""
+    counts = [("dark", "ness", 40, 0), ("dark", "er", 1, 30), ("plai", "n", 0, 50), ("and", "", 60, 60)]
+    counts += [("w", str(i), 1, 1) for i in range(3000)]
+    counts = spark.createDataFrame(counts, "stem string, rest string, toxic long, ordinary long")
+    texts = ["darkness darker", "Darkness, darkness", "darkroom", "zzzzunknown", "plain and darkness", "", None, "plain plain w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = []
+    for common in (1 << 18, 2, 0):
+        monkeypatch.setattr(toxicity, "COMMON_WORDS", common)
+        model = toxicity.log_ratios(counts)
+        assert len(model.common) <= common
+        results.append({r.tag: list(r.x) for r in toxicity.figures(docs, "doc_id", model).collect()})
+    ratios = {r.word: r.ratio for r in model.words.collect()}
+    other = {r.stem: r.other for r in model.stems.collect()}
+    # the class sees three and two rests of the stem; 0.75 of each goes to rests that were not counted
+    back = np.log((0.75 * 2 / 41) / (0.75 * 1 / 30))
+    # P(stem) is in both, so it falls out of the difference of two words of a stem
+    seen = {k: [max(n - 0.75, 0) / s + 0.75 * r / s / 3004 for n, s, r in v] for k, v in {"ness": [(40, 41, 2), (0, 30, 1)], "er": [(1, 41, 2), (30, 30, 1)]}.items()}
+    both = {k: np.log(a / b) for k, (a, b) in seen.items()}
+    assert np.isclose(ratios["darkness"] - ratios["darker"], both["ness"] - both["er"])
+    assert np.isclose(ratios["darkness"] - other["dark"], both["ness"] - back)
+    for got in results:
+        assert len(got) == len(texts)
+        assert np.isclose(got[0][0], (ratios["darkness"] + ratios["darker"]) / 2) and np.isclose(got[2][0], other["dark"])
+        assert got[3] == got[5] == got[6] == [0, 0, 0, 0, 1]
+        assert np.allclose(got[1], [ratios["darkness"], ratios["darkness"] * 2 / 3, ratios["darkness"], np.log(3), 1])
+        assert all(np.allclose(got[k], results[0][k]) for k in got)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -10,7 +9,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.llm.common import slices, stored, table, texts_of
@@ -18,8 +18,8 @@ from zonecast.llm.labelled import agreed_labels, held_out, set_aside, with_label
 
 #: A word is the pair of its first letters and the rest.
 STEM = 4
-#: Slots of the two tables of log ratios that tasks score with: the model's size, whatever the corpus.
-STEM_BITS, WORD_BITS = 18, 20
+#: Most words, the commonest, whose ratios every task holds; the others are joined.
+COMMON_WORDS = 1 << 18
 #: Part of a class's probability that goes to the shared counts; absolute discounts follow from it.
 SHARED = 0.05
 #: Bound on the labelled rows that the final weights are fitted on.
@@ -39,36 +39,83 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np
 
 @dataclass
 class Model:
-    """Log ratios by slot, and the weights that turn a text's figures into a probability."""
+    """Log ratios, log P(word | toxic) - log P(word | ordinary), by the word itself, and the weights of a text's figures.
 
-    stems: np.ndarray = field(default_factory=lambda: np.zeros(1 << STEM_BITS, np.float32))
-    words: np.ndarray = field(default_factory=lambda: np.zeros(1 << WORD_BITS, np.float32))
+    ``common`` has the commonest words. ``words`` (word, ratio) has every counted word and ``stems`` (stem, other) what a
+    word of that stem has that was never counted; they are None if nothing was learnt.
+    """
+
+    common: dict[str, float] = field(default_factory=dict)
+    words: DataFrame | None = None
+    stems: DataFrame | None = None
     weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary); 0 for a word of unknown parts."""
-        stem = [zlib.crc32(w[:STEM].encode()) & ((1 << STEM_BITS) - 1) for w in words]
-        word = [zlib.crc32(w.encode()) & ((1 << WORD_BITS) - 1) for w in words]
-        return self.stems[stem] + self.words[word] if words else np.zeros(0)
-
-    def figures(self, texts: list[str]) -> np.ndarray:
-        """Per text: mean log ratio, mean of the three largest, largest, log of 1 + the number of strong words, 1."""
-        doc, codes, words, n = split_words(texts)
-        ratio = self.ratios(words)[codes]
-        size = np.maximum(n, 1)
-        mean = np.bincount(doc, ratio, minlength=len(texts)) / size
-        strong = np.flatnonzero(ratio > STRONG)
-        order = strong[np.lexsort((-ratio[strong], doc[strong]))]
-        first = np.searchsorted(doc[order], doc[order])
-        place = np.arange(len(order)) - first
-        top = np.zeros((3, len(texts)))
-        for k in range(3):
-            top[k, doc[order[place == k]]] = ratio[order[place == k]]
-        count = np.bincount(doc[strong], minlength=len(texts))
-        return np.stack([mean, top.mean(axis=0), top[0], np.log1p(count), np.ones(len(texts))], axis=1)
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.figures(texts) @ self.weights, -30, 30)))
+
+MEASURED = "key long, tag long, word string, stem string, n long, size long, total double, strong long, top array<double>"
+
+
+def figures(docs: DataFrame, tag: str, model: Model) -> DataFrame:
+    """(tag, x) of every row: mean log ratio, mean of the three largest, largest, log of 1 + the number of strong words, 1.
+
+    Only strong words count as largest. A task sums up the common words of a text. The other words are a row for each
+    text and word, joined to the tables of ratios: by the word, and by its stem where the word was never counted; Spark
+    splits what many texts share. ``tag`` is any long column; rows are told apart by their place in the input.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model.common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, context = shared.value, TaskContext.get()
+        first = (context.partitionId() if context else 0) << 40
+        for batch in slices(batches, "text"):
+            texts = texts_of(batch)
+            count = len(texts)
+            doc, codes, words, size = split_words(texts)
+            known = [common.get(w) if w else 0.0 for w in words]
+            ratio = np.array([np.nan if r is None else r for r in known], float)[codes] if words else np.zeros(0)
+            here = ~np.isnan(ratio)
+            total = np.bincount(doc[here], ratio[here], minlength=count)
+            strong = np.flatnonzero(here & (ratio > STRONG))
+            order = strong[np.lexsort((-ratio[strong], doc[strong]))]
+            place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+            top: list[list[float]] = [[] for _ in range(count)]
+            for i in order[place < 3].tolist():
+                top[doc[i]].append(float(ratio[i]))
+            # words that differ only in case or signs are one
+            number, names = pd.factorize(np.array(words, object)) if words else (np.zeros(0, np.int64), [])
+            both, n = np.unique(doc[~here] * max(len(names), 1) + number[codes[~here]], return_counts=True)
+            owner, rare = both // max(len(names), 1), [names[i] for i in (both % max(len(names), 1)).tolist()]
+            keys, more = first + np.arange(count), len(both)
+            # a text's own row has a word that no text has, so that these rows are spread as well
+            own = [f" {k}" for k in keys.tolist()]
+            columns = {
+                "key": pa.array(np.concatenate([keys, first + owner]), pa.int64()),
+                "tag": pa.concat_arrays([batch.column("tag"), pa.nulls(more, pa.int64())]),
+                "word": pa.array(own + rare, pa.string()),
+                "stem": pa.array(own + [w[:STEM] for w in rare], pa.string()),
+                "n": pa.array(np.concatenate([np.zeros(count, np.int64), n]), pa.int64()),
+                "size": pa.array(np.concatenate([size, np.zeros(more, np.int64)]), pa.int64()),
+                "total": pa.array(np.concatenate([total, np.zeros(more)]), pa.float64()),
+                "strong": pa.array(np.concatenate([np.bincount(doc[strong], minlength=count), np.zeros(more, np.int64)]), pa.int64()),
+                "top": pa.array(top + [[]] * more, pa.list_(pa.float64())),
+            }
+            first += count
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    rows = docs.select(F.col(tag).cast("long").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEASURED)
+    ratio: Column = F.lit(0.0)
+    if model.words is not None:
+        rows = rows.join(model.words, "word", "left").join(model.stems, "stem", "left")
+        ratio = F.coalesce("ratio", "other", F.lit(0.0))
+    rows = rows.withColumn("value", ratio)
+    hit = F.when((F.col("n") > 0) & (F.col("value") > STRONG), F.array_repeat("value", F.least("n", F.lit(3)).cast("int"))).otherwise(F.col("top"))
+    each = rows.groupBy("key").agg(
+        F.max("tag").alias("tag"),
+        ((F.sum("total") + F.sum(F.col("n") * F.col("value"))) / F.greatest(F.sum("size"), F.lit(1))).alias("mean"),
+        (F.sum("strong") + F.sum(F.when(F.col("value") > STRONG, F.col("n")).otherwise(0))).alias("strong"),
+        F.sort_array(F.flatten(F.collect_list(F.when(F.size(hit) > 0, hit))), False).alias("top"),
+    )
+    best = [F.coalesce(F.get("top", F.lit(k)), F.lit(0.0)) for k in range(3)]
+    return each.select("tag", F.array("mean", (best[0] + best[1] + best[2]) / 3, best[0], F.log1p("strong"), F.lit(1.0)).alias("x"))
 
 
 def expression_counts(labelled: DataFrame) -> DataFrame:
@@ -109,13 +156,14 @@ def expression_counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("stem", "rest").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def log_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Both tables of log ratios from the counts of all labelled documents but the held-out ones and the bounded sample.
+def log_ratios(counts: DataFrame) -> Model:
+    """Log ratios of every counted word and stem, from the counts of all labelled documents but the held-out ones and the
+    bounded sample.
 
     P(word) = P(stem) P(rest | stem), per class. Each factor is the discounted count of the class plus a share of
     a distribution that both classes have in common: how many distinct rests follow a stem, how many distinct stems
-    precede a rest. The discounts of stems give both classes the same share, so what neither has seen weighs nothing. Words that
-    meet in a slot share the mean of their ratios, weighted by their counts.
+    precede a rest. The discounts of stems give both classes the same share, so what neither has seen weighs nothing. A
+    word that neither has seen gets what its stem leaves to such words in each class. No words share a ratio.
     """
     kinds = ("toxic", "ordinary")
     stems = stored(
@@ -130,7 +178,7 @@ def log_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         *(F.sum(f"stem_{k}").alias(f"all_{k}") for k in kinds), *(F.count_if(F.col(f"stem_{k}") > 0).alias(f"types_{k}") for k in kinds), F.sum("rests").alias("pairs")
     ).first()
     if not total["pairs"] or not total["all_toxic"] or not total["all_ordinary"]:
-        return np.zeros(1 << STEM_BITS, np.float32), np.zeros(1 << WORD_BITS, np.float32)
+        return Model()
 
     share = min(SHARED, *(0.95 * total[f"types_{k}"] / total[f"all_{k}"] for k in kinds))
 
@@ -138,29 +186,29 @@ def log_ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         discount = share * total[f"all_{k}"] / total[f"types_{k}"]
         return F.greatest(F.col(f"stem_{k}") - discount, F.lit(0.0)) / total[f"all_{k}"] + share * F.col("rests") / total["pairs"]
 
-    def of_rest(k: str):
-        shared = F.col("stems") / total["pairs"]
-        seen = (F.greatest(F.col(k) - 0.75, F.lit(0.0)) + 0.75 * F.col(f"rests_{k}") * shared) / F.col(f"stem_{k}")
-        return F.when(F.col(f"stem_{k}") > 0, seen).otherwise(shared)
-
-    def slots(rows: DataFrame, key, ratio, weight, bits: int) -> np.ndarray:
-        slot = F.crc32(key.cast("binary")).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        got = (
-            rows.select(slot.alias("slot"), ratio.alias("ratio"), weight.alias("weight"))
-            .groupBy("slot")
-            .agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio"))
-            .where(F.abs("ratio") > 0.01)
-            .toPandas()
-        )
-        out = np.zeros(1 << bits, np.float32)
-        out[got["slot"].to_numpy(np.int64)] = got["ratio"].to_numpy(np.float32)
-        return out
+    def left(k: str):
+        """Weight of the shared counts after a stem; 1 after a stem that the class has not."""
+        return F.when(F.col(f"stem_{k}") > 0, 0.75 * F.col(f"rests_{k}") / F.col(f"stem_{k}")).otherwise(1.0)
 
-    by_stem = slots(stems, F.col("stem"), F.log(of_stem("toxic") / of_stem("ordinary")), F.col("stem_toxic") + F.col("stem_ordinary"), STEM_BITS)
-    pairs = counts.join(rests, "rest").join(stems, "stem")
-    ratio = F.log(of_rest("toxic") / of_rest("ordinary"))
-    by_word = slots(pairs, F.concat("stem", "rest"), ratio, F.col("toxic") + F.col("ordinary"), WORD_BITS)
-    return by_stem, by_word
+    def of_rest(k: str):
+        seen = F.when(F.col(f"stem_{k}") > 0, F.greatest(F.col(k) - 0.75, F.lit(0.0)) / F.col(f"stem_{k}")).otherwise(0.0)
+        return seen + left(k) * F.col("stems") / total["pairs"]
+
+    of_stems = F.log(of_stem("toxic") / of_stem("ordinary"))
+    pairs = counts.join(rests, "rest").join(stems.withColumn("of_stem", of_stems), "stem")
+    ratio = F.col("of_stem") + F.log(of_rest("toxic") / of_rest("ordinary"))
+    words = stored(pairs.select(F.concat("stem", "rest").alias("word"), ratio.alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("n")))
+    other = stored(stems.select("stem", (of_stems + F.log(left("toxic") / left("ordinary"))).alias("other")))
+    # the commonest words, by whole steps of their count, so that only a histogram is needed to find them
+    step = F.floor(F.log2("n") * 4)
+    least, held = None, 0
+    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        held += row["count"]
+        if held > COMMON_WORDS:
+            break
+        least = row["step"]
+    got = words.where(step >= least).select("word", "ratio").toPandas() if least is not None else pd.DataFrame({"word": [], "ratio": []})
+    return Model(dict(zip(got["word"].tolist(), got["ratio"].tolist())), words.select("word", "ratio"), other)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -176,23 +224,15 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, out: int = 2) -> Model:
     """Counts from every labelled document but a bounded sample, final weights from that sample.
 
-    The counts grow with the labels; they are joined and reduced by Spark, only the tables of fixed size and the
-    sample's figures (five numbers each) reach the driver.
+    The counts and the ratios of their words grow with the labels and stay in Spark; only ``COMMON_WORDS`` ratios and
+    the sample's figures (five numbers each) reach the driver.
     """
     rows = stored(agreed_labels(labels, label, modulus, out))
     size = rows.count()
     few, most = set_aside(rows, size, MOST_ROWS)
-    model = Model()
-    model.stems, model.words = log_ratios(stored(expression_counts(with_labels(docs, most, size))))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = shared.value.figures(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
-
+    model = log_ratios(stored(expression_counts(with_labels(docs, most, size))))
     sample = with_labels(docs, few, min(size, MOST_ROWS))
-    got = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").toPandas()
+    got = figures(sample, "y", model).withColumnRenamed("tag", "y").toPandas()
     if got["y"].nunique() == 2:
         model.weights = logistic(np.stack(got["x"]), got["y"].to_numpy(float))
     else:
@@ -204,17 +244,13 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every document; higher is likelier toxic.
 
     Null and empty texts have the score of a text without any known word. Only the text counts. Repeated rows get
-    equal scores; an empty table gives no rows; other columns are ignored; long texts are read whole. A map
-    without shuffle.
+    equal scores; an empty table gives no rows; other columns are ignored; long texts are read whole. Moves a row for each
+    text and each of its words that are not common.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(texts_of(batch)))], ["doc_id", "score"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, score double")
+    x = figures(docs, "doc_id", model)
+    dot = sum((F.col("x")[k] * float(w) for k, w in enumerate(model.weights)), F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(dot, F.lit(30.0)), F.lit(-30.0))))
+    return x.select(F.col("tag").alias("doc_id"), score.alias("score"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
