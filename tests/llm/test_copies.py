@@ -104,6 +104,25 @@ def test_near_duplicates_take_odd_tables(spark):
     assert minhash.near_duplicates(odd.empty(spark)).count() == 0 and minhash.keep_one(odd.empty(spark)).count() == 0
 
 
+def test_keep_one_knows_rows_by_id_and_set(spark):
+    """Different texts under one id are each judged by their own, copies under one id leave one, always the same."""
+    clean = " ".join(f"clean{i}" for i in range(60))
+    own = " ".join(f"own{i}" for i in range(60))
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base + " end"
+    other, closer = " ".join(f"other{i}" for i in range(60)), " ".join(f"other{i}" for i in range(61))
+    rows = [(5, clean, "a"), (5, own, "b"), (2, base, "c"), (5, near, "d"), (7, base, "e"), (8, other, "f"), (8, closer, "g")]
+    rows += [(9, "one  two", "i"), (9, "one two", "h"), (9, "", "j"), (9, None, "k"), (None, clean, "l"), (None, clean, "m")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        got = {r.source for r in minhash.keep_one(docs, 5, 80).collect()}
+        one = got & {"f", "g"}
+        assert len(one) == 1 and got - one == {"a", "b", "c", "i", "k", "l", "m"}
+        if order is rows:
+            before = one
+    assert one == before
+
+
 def links_by_cosine(ids, x, least=0.9):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
