@@ -10,6 +10,7 @@ from zonecast.llm.bpe import op1_bpe
 from zonecast.llm.licences import op2_licences
 from zonecast.llm.minhash import op7_minhash_dedup
 from zonecast.llm.packing import op3_packing
+from zonecast.llm.periodic import op11_periodic_runs
 from zonecast.llm.pii import op10_pii
 from zonecast.llm.quality_model import op8_quality_classifier
 from zonecast.llm.quality_rules import op6_quality_rules
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: Everything a node reaches along links (a, b), both ways; its component is the smallest of it.
