@@ -123,7 +123,8 @@ def find_runs(ids: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
     At scale L, blocks of L words at multiples of L are sought L to 2L - 1 words further on, which finds the periods
     of that size: such a run holds a whole block and its copy. Blocks with a word that does not come again within
     2L words have no copy and skip the convolution, as do blocks that lie, with their whole window, in a known run of
-    period L or less. A copy that lies with its block in a known run whose period divides its distance belongs to that run. Sequences of ``longest`` words at most are told apart by words that occur once.
+    period L or less. A copy that lies with its block in a known run whose period divides its distance belongs to that
+    run. ``longest`` is the length of the longest text; texts are told apart by words that occur once.
     """
     n = len(ids)
     extender: Extender | None = None
@@ -145,7 +146,8 @@ def find_runs(ids: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
                 extender = extender or Extender(ids)
                 first, last, distance = found
                 left, right = extender.agreed(first, distance, True), extender.agreed(last, distance, False)
-                for x in zip(first.tolist(), last.tolist(), distance.tolist(), left.tolist(), right.tolist()):
+                long = left + right + last - first + distance >= np.maximum(LEAST, TIMES * distance)
+                for x in np.stack([first, last, distance, left, right], 1)[long].tolist():
                     start, end = extender.stretch(*x)
                     if end - start >= max(LEAST, TIMES * x[2]):
                         runs.append((start, end, x[2]))

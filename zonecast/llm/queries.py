@@ -14,6 +14,7 @@ from zonecast.llm.periodic import op11_periodic_runs
 from zonecast.llm.pii import op10_pii
 from zonecast.llm.quality_model import op8_quality_classifier
 from zonecast.llm.quality_rules import op6_quality_rules
+from zonecast.llm.secrets import OP12_SQL, op12_secrets
 from zonecast.llm.toxicity import op5_toxicity
 from zonecast.llm.vectors import op9_vector_dedup
 from zonecast.llm.warc import OP4_SQL, op4_warc
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_secrets": op12_secrets,
 }
 
 #: Everything a node reaches along links (a, b), both ways; its component is the smallest of it.
@@ -65,4 +67,4 @@ SELECT d.vec_id, coalesce(n, 0) AS n_links, least(d.vec_id, coalesce(other, d.ve
 FROM embeddings d LEFT JOIN counts ON a = d.vec_id LEFT JOIN top ON node = d.vec_id
 """
 
-ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op9_vector_dedup": OP9_SQL}
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op7_minhash_dedup": OP7_SQL, "op9_vector_dedup": OP9_SQL, "op12_secrets": OP12_SQL}
