@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonecast.llm.align import op13_alignment
 from zonecast.llm.bpe import op1_bpe
 from zonecast.llm.licences import op2_licences
 from zonecast.llm.minhash import op7_minhash_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_secrets": op12_secrets,
+    "op13_alignment": op13_alignment,
 }
 
 #: Everything a node reaches along links (a, b), both ways; its component is the smallest of it.
