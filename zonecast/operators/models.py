@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.operators import metrics, scoring, splits
+from zonecast.operators import metrics, ranker, scoring, splits
 from zonecast.session import materialize
 
 # Feature lists of the two stages and of the cell model.
@@ -119,20 +119,27 @@ CANDIDATES: dict[str, Callable[[str], object]] = {
     "boosted_trees_balanced": lambda y: GBTClassifier(
         labelCol=y, weightCol="weight", maxIter=20, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, seed=42
     ),
+    "pairwise_ranker": None,
     "prior": None,
 }
+#: Candidates that learn from pairs inside target times; they need zones and are no use to the activity stage.
+RANKERS = ("pairwise_ranker",)
 
 
 def fit(
     name: str, train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str]
 ) -> tuple[PipelineModel | None, float]:
-    """Fitted pipeline and the training base rate (the prior has no pipeline)."""
+    """Fitted pipeline and the training base rate (the prior has no pipeline, nor has a ranker without a pair to learn from)."""
     rate = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
-    if CANDIDATES[name] is None:
+    if CANDIDATES[name] is None and name not in RANKERS:
         return None, rate
     weighted = with_class_weight(_doubles(train, numeric), target)
     modes = most_frequent(weighted, categorical) if categorical else {}
     ready = weighted.na.fill(modes) if modes else weighted
+    if name in RANKERS:
+        prepared = Pipeline(stages=preprocess(numeric, categorical)).fit(ready)
+        last = ranker.fit_ranker(prepared.transform(ready), target)
+        return (PipelineModel(stages=[*prepared.stages, *last.stages]) if last else None), rate
     return Pipeline(stages=[*preprocess(numeric, categorical), CANDIDATES[name](target)]).fit(ready), rate
 
 
@@ -178,8 +185,10 @@ def evaluate_candidates(
     """Metrics per (model, fold). With a horizon the folds are purged, else walk-forward.
 
     The loop is over models and folds; fitting, scoring and metrics are Spark jobs.
-    The spatial stage trains on sampled rows and blends the recent prior.
+    The spatial stage trains on sampled rows and blends the recent prior; the activity stage leaves rankers out.
     """
+    if stage == "activity":
+        names = [n for n in names if n not in RANKERS]
     frame = materialize(df)
     tags = materialize(
         splits.purged_rolling_splits(frame, horizon_minutes, n_splits)
