@@ -211,7 +211,7 @@ def finished(keys: pa.Array, parts: list[Fragment]) -> pa.RecordBatch:
             pa.array([p.groups + p.cut for p in parts], pa.int64()),
             pa.array([(group_text(p.head) + p.body)[:-1] if p.cut else "" for p in parts], pa.string()),
             pa.array([x.astype("<i8").tobytes() for x, _ in counted], pa.binary()),
-            pa.array([n.astype("<i8").tobytes() for _, n in counted], pa.binary()),
+            pa.array([n.astype("<i4").tobytes() for _, n in counted], pa.binary()),
         ],
         names(ALIGNED),
     )
@@ -223,13 +223,13 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = RANGE) -
     ``byte_file`` is a tokenizers file with byte-level ids (A), ``piece_file`` a sentencepiece model with byte fallback (B); every
     worker can open them. A encodes a blank and the text, B the text; special tokens in a text are plain text.
     ``groups`` is ``a1,a2|b1;a3|b2,b3`` in ids, ``pairs`` the distinct pairs of ids that end together (a * size of B + b),
-    ``times`` how often each does, both little-endian 64-bit.
+    ``times`` how often each does, little-endian with 64 and 32 bits.
 
     Null and empty texts, and texts that the tokens of a side do not give back, have no tokens: zeros and empty values. Repeated rows
     and null ids give a row each, an empty table none; other columns are ignored. Documents up to ``size`` bytes are
     one fragment and never move. Longer ones are cut into byte ranges, which are dealt to tasks; a token belongs to the range it ends in. Their
     fragments are composed in a tree, ``FAN`` at a time, so that a task holds some ranges, and the last one a
-    document's groups. The result is stored.
+    document's groups. Store what is read more than once.
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     is_long = F.octet_length("text") > size
@@ -286,16 +286,16 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = RANGE) -
             F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", *names(PARTS)))).alias("parts")
         )
         parts, most = gathered.select("row", "doc_id", "k", "parts").mapInArrow(composed, schema), most // FAN
-    return stored(short.unionByName(parts.mapInArrow(of_whole, ALIGNED)))
+    return short.unionByName(parts.mapInArrow(of_whole, ALIGNED))
 
 
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
     """(pair, n, best): links of each id pair over all documents, and whether no pair with the same B id has more. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "pairs"):
             pairs = np.frombuffer(b"".join(batch.column("pairs").to_pylist()), "<i8")
-            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), "<i8")
+            times = ints(b"".join(batch.column("times").to_pylist()))
             keys, at = np.unique(pairs, return_inverse=True)
             sums = np.zeros(len(keys), np.int64)
             np.add.at(sums, at, times)
@@ -308,22 +308,23 @@ def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
 
 
 def link_scores(aligned: DataFrame, counts: DataFrame, known: int = KNOWN) -> DataFrame:
-    """``aligned`` without its pairs, with n_links, n_best (links of a best pair) and count_sum (over links).
+    """``aligned`` without pairs and times, with n_links, n_best (links of a best pair) and count_sum (over links).
 
     The ``known`` commonest pairs are sent to all tasks; links of other pairs, where there are any, are joined with their counts.
     """
     spark = aligned.sparkSession
     common = counts.orderBy(F.desc("n"), "pair").limit(known).toArrow().sort_by("pair")
     sent = spark.sparkContext.broadcast(tuple(common.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")))
-    kept = ["doc_id", "n_a", "n_b", "n_groups", "groups"]
-    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long, pairs binary, times binary"
+    kept = [c for c in aligned.columns if c not in ("pairs", "times")]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in aligned.select(*kept).schema)
+    schema = f"row long, {types}, n_links long, n_best long, count_sum long, pairs binary, times binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = sent.value
-        for batch in batches:
+        for batch in slices(batches, "pairs"):
             links, bests, sums, rest_pairs, rest_times = [], [], [], [], []
             for p, t in zip(batch.column("pairs").to_pylist(), batch.column("times").to_pylist()):
-                p, t = np.frombuffer(p, "<i8"), np.frombuffer(t, "<i8")
+                p, t = np.frombuffer(p, "<i8"), ints(t)
                 at = np.minimum(np.searchsorted(keys, p), len(keys) - 1) if len(keys) else np.zeros(len(p), int)
                 hit = keys[at] == p if len(keys) else np.zeros(len(p), bool)
                 links.append(int(t.sum()))
@@ -342,8 +343,8 @@ def link_scores(aligned: DataFrame, counts: DataFrame, known: int = KNOWN) -> Da
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, p, t in zip(*(batch.column(c).to_pylist() for c in ("row", "pairs", "times"))):
-                p, t = np.frombuffer(p, "<i8"), np.frombuffer(t, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), row)), pa.array(p), pa.array(t)], ["row", "pair", "times"])
+                p = np.frombuffer(p, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), row)), pa.array(p), pa.array(ints(t), pa.int64())], ["row", "pair", "times"])
 
     scored = stored(scored)
     rest = scored.select("row", "pairs", "times").filter(F.octet_length("pairs") > 0).mapInArrow(listed, "row long, pair long, times long")
@@ -365,10 +366,8 @@ def piece_model() -> str:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = piece_model()
+    groups = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     aligned = align(table(spark, sf_dir, "documents"), byte_vocabulary(), pieces)
+    aligned = stored(aligned.withColumn("groups_sha256", groups).drop("groups"))
     size_b = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
-    scored = link_scores(aligned, pair_counts(aligned, size_b))
-    return scored.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
-        F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256"),
-    )
+    return link_scores(aligned, pair_counts(aligned, size_b))
