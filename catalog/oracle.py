@@ -940,6 +940,20 @@ _NEAR = """SELECT avg(CAST(hit AS INTEGER)) FROM (SELECT a.target_time, bool_or(
  ON p.target_time=a.target_time AND p.zone_id=nb.neighbor_id GROUP BY 1)"""
 O["e8_near_miss_hit_rate"] = named({f"nm{k}": _NEAR.format(k=k) for k in (1, 3, 20)}, "rk", "nb", "sc")
 O["e9_average_precision"] = q("SELECT model, fold, round(average_precision,6) average_precision FROM ap", "ap")
+_IDEAL = lambda p: f"list_sum([1e0/log2(1e0+i) for i in range(1,CAST({p} AS BIGINT)+1)])"
+O["e18_ndcg"] = q(
+    f"""SELECT model, fold, round(avg(d/{_IDEAL('p')}),6) ndcg, count(*) AS groups, round(avg(d20/{_IDEAL('least(p,20)')}),6) ndcg_at_20 FROM (
+ SELECT model, fold, target_time, sum(actual) p, sum(actual/log2(1e0+r)) d, coalesce(sum(actual/log2(1e0+r)) FILTER (r<=20),0) d20 FROM (
+ SELECT *, row_number() OVER (PARTITION BY model,fold,target_time ORDER BY score DESC, zone_id) r FROM ms) GROUP BY ALL HAVING sum(actual)>0) GROUP BY ALL""",
+    "ms",
+)
+O["l2_ranker_pairs"] = q(
+    f"""SELECT target_time, count(*) pairs, count(DISTINCT positive) positives, count(DISTINCT negative) negatives, max(negative) last_negative, round(sum(abs(1e0/log2(1e0+rp)-1e0/log2(1e0+rn))/ideal),6) weight
+ FROM (SELECT target_time, zone_id positive, trank rp FROM rk WHERE actual=1) JOIN (SELECT target_time, zone_id negative, trank rn FROM rk WHERE actual=0
+ QUALIFY row_number() OVER (PARTITION BY target_time ORDER BY trank)<=5) USING (target_time)
+ JOIN (SELECT target_time, {_IDEAL('sum(actual)')} ideal FROM rk GROUP BY 1 HAVING sum(actual)>0) USING (target_time) GROUP BY 1""",
+    "rk",
+)
 O["e10_roc_auc"] = q("SELECT model, fold, round(roc_auc,6) roc_auc FROM ap", "ap")
 O["e11_threshold_metrics"] = q(
     f"""SELECT model, tp, fp, tn, fn, round({ratio('tp', '(tp+fp)')},6) AS precision, round({ratio('tp', '(tp+fn)')},6) recall,
@@ -1199,6 +1213,30 @@ O["n8_mutual_info"] = q(
  CAST(sum(n) OVER (PARTITION BY feature,y) AS DOUBLE) ny, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) nt FROM cells_) GROUP BY 1""",
     "cells_",
 )
+cte(
+    "spread_",
+    """SELECT feature, y, x+(CAST('0x'||substr(md5(feature||'|'||CAST(target_time AS VARCHAR)||'|'||zone_id),1,8) AS BIGINT)/2147483648e0-1e0)
+ *pow(2e0,ceil(log2(greatest(1e0,avg(abs(x)) OVER (PARTITION BY feature))))-33e0) x FROM fl""",
+    "fl",
+)
+_BEFORE = lambda a: f"x-coalesce(lag(x,{a}) OVER (PARTITION BY feature,y ORDER BY x),CAST('-inf' AS DOUBLE))" if a else "0e0"
+_AFTER = lambda a: f"coalesce(lead(x,{a}) OVER (PARTITION BY feature,y ORDER BY x),CAST('inf' AS DOUBLE))-x" if a else "0e0"
+cte("psi_", "SELECT m, coalesce(sum(1e0/nullif(m-1,0)) OVER (ORDER BY m),0)-0.5772156649015329e0 p FROM range(1,(SELECT count(*)+2 FROM zb)) t(m)", "zb")
+cte(
+    "radius_",
+    "SELECT *, count(*) OVER (PARTITION BY feature,y) ny, count(*) OVER (PARTITION BY feature) n, "
+    + "least("
+    + ",".join(f"greatest({_BEFORE(a)},{_AFTER(3 - a)})" for a in range(4))
+    + f")*{d(1 - 2.0**-40)} r FROM spread_",
+    "spread_",
+)
+O["n8_nearest_info"] = q(
+    """SELECT feature, round(greatest(0e0,avg(pn.p+p3.p-py.p-pm.p)),6) mutual_info FROM (
+ SELECT *, count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) m FROM radius_) c
+ JOIN psi_ pn ON pn.m=c.n JOIN psi_ py ON py.m=c.ny JOIN psi_ pm ON pm.m=c.m JOIN psi_ p3 ON p3.m=3 GROUP BY 1""",
+    "radius_",
+    "psi_",
+)
 O["n9_categorical_signal"] = q(
     f"""SELECT feature, count(*) levels, arg_min(level,(-rate,-n,level)) top_level, arg_min(n,(-rate,-n,level)) top_level_rows, round(arg_min(rate,(-rate,-n,level)),6) top_level_positive_rate,
  round(arg_min(rate,(-rate,-n,level))/(SELECT avg(actual) FROM zb),6) lift_vs_global FROM (

@@ -18,6 +18,8 @@ from zonecast.operators import (
     marts,
     metrics,
     models,
+    mutual_info,
+    ranker,
     scoring,
     serving,
     spatial,
@@ -1045,6 +1047,12 @@ def n8_mutual_info(spark, sf):
     return r6(diagnose.binned_mutual_info(I.zone_base(spark, sf), NUMERIC, I.TARGET))
 
 
+@query
+def n8_nearest_info(spark, sf):
+    """The same information without bins, from the third nearest neighbours."""
+    return r6(mutual_info.nearest_mutual_info(I.zone_base(spark, sf), NUMERIC, I.TARGET))
+
+
 @query
 def n9_categorical_signal(spark, sf):
     return r6(diagnose.categorical_signal(I.zone_base(spark, sf), ("district", "region", "hour_bucket"), I.TARGET))
@@ -1093,6 +1101,47 @@ def l2_train_candidates(spark, sf):
     return out
 
 
+@query
+def l2_early_stopping(spark, sf):
+    """Boosted trees of the cell model: rows of the three parts, rounds in use, metrics of the last tenth."""
+    return r6(runs.cell_model_report(I.events(spark, sf))[0])
+
+
+@query
+def l2_ranker_pairs(spark, sf):
+    """What the ranker learns from, ranked by a score that needs no model: pairs and weights per target time."""
+    pairs = ranker.ranked_pairs(I.scored(spark, sf), "actual", [-F.col("score")], 5)
+    return r6(
+        pairs.groupBy("target_time").agg(
+            F.count(F.lit(1)).alias("pairs"), F.countDistinct("positive").alias("positives"), F.countDistinct("negative").alias("negatives"),
+            F.max("negative").alias("last_negative"), F.sum("weight").alias("weight"),
+        )
+    )
+
+
+@query
+def l2_ranker(spark, sf):
+    """NDCG of the ranker and of the balanced logistic on the zone holdout, on the same training sample."""
+    z = I.zone_full(spark, sf)
+    tags = materialize(splits.positive_count_holdout(z, I.TARGET, 50))
+    part = lambda role: z.join(tags.filter(F.col("role") == role).select("target_time"), "target_time", "left_semi")
+    train = materialize(splits.sample_training_rows(part("train"), I.TARGET))
+    out = None
+    for name in ("logistic_balanced", "pairwise_ranker"):
+        model, rate = models.fit(name, train, I.TARGET, models.ZONE_NUMERIC, models.ZONE_CATEGORICAL)
+        one = models.predict(model, part("holdout"), models.ZONE_NUMERIC, rate).withColumn("actual", F.col(I.TARGET).cast("int"))
+        row = ranker.ndcg(one).select(F.lit(name).alias("model"), "groups", "ndcg")
+        out = row if out is None else out.unionByName(row)
+    return r6(out)
+
+
+@query
+def e18_ndcg(spark, sf):
+    s = I.model_scores(spark, sf)
+    whole = ranker.ndcg(s, None, by=["model", "fold"])
+    return r6(whole.join(ranker.ndcg(s, 20, by=["model", "fold"]).select("model", "fold", F.col("ndcg").alias("ndcg_at_20")), ["model", "fold"]))
+
+
 @query
 def l3_evaluate_candidates(spark, sf):
     y = "activity_next_1h"

@@ -275,6 +275,12 @@ def _cuts(placed: DataFrame, quantiles: dict[str, float]) -> DataFrame:
     return histogram_quantiles(placed.withColumn("n_total", total), "x", quantiles, ["feature"])
 
 
+def feature_medians(df: DataFrame, features: Sequence[str], target: str) -> dict[str, float]:
+    """Exact median of each feature that has a value, over the labelled rows: one number per column."""
+    placed = _placed(materialize(_histogram(df, features, target)))
+    return {r["feature"]: r["median"] for r in _cuts(placed, {"median": 0.5}).select("feature", "median").collect()}
+
+
 def binned_mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of quantile-binned features with a 0/1 label; nulls take the median."""
     hist = materialize(_histogram(df, features, target))

@@ -30,6 +30,15 @@ def train_and_forecast(events: DataFrame, at: Column, model: str = "random_fores
     return scoring.cell_forecast(scored, events, at)
 
 
+def cell_model_report(events: DataFrame, max_rounds: int = 100, top: int = 10) -> tuple[DataFrame, DataFrame | None]:
+    """The boosted cell model, stopped on its validation part: sizes, rounds and holdout metrics, and its ``top`` features."""
+    rows = materialize(cell_features.cell_features(events))
+    model, report = models.fit_boosted(
+        rows, "has_event", models.CELL_NUMERIC, models.CELL_CATEGORICAL, ["target_time", "grid_cell"], max_rounds
+    )
+    return report, models.feature_importance(model, models._doubles(rows, models.CELL_NUMERIC), top) if model else None
+
+
 def two_stage(
     events: DataFrame,
     horizon_minutes: int,
