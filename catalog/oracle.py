@@ -1330,3 +1330,4 @@ O["w5_stream_sessions"] = q(
  OVER (PARTITION BY grid_cell ORDER BY ts, event_id) s FROM (SELECT *, lag(ts) OVER (PARTITION BY grid_cell ORDER BY ts, event_id) p FROM ev)) GROUP BY grid_cell, s""",
     "ev",
 )
+O["w5_stream_sessions_in_order"] = O["w5_stream_sessions"]

@@ -29,7 +29,7 @@ from zonecast.operators import (
 from zonecast.plans import runs
 from zonecast.session import materialize
 from zonecast.sources import adapter, archive
-from zonecast.streaming import ingest
+from zonecast.streaming import ingest, keyed, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1324,21 +1324,21 @@ def w1_stream_dedupe(spark, sf):
 
 def _refresh(spark, sf) -> tuple[str, str]:
     state, log, ck = (I.folder(spark, n) for n in ("state", "log", "ck"))
-    sink = ingest.refresh_sink(state, log)
-    _land(spark, I.copies(spark, sf), lambda s: ingest.run_available(s, ck, "append", each=sink))
+    sink = keyed.states_sink(state, log)
+    _land(spark, I.copies(spark, sf), lambda s: ingest.run_available(keyed.refresh_states(s), ck, "update", each=sink))
     return state, log
 
 
 @query
 def w2_stream_refresh(spark, sf):
-    return ingest.read_refreshed(spark, _refresh(spark, sf)[0]).select(
+    return keyed.read_current(spark, _refresh(spark, sf)[0]).select(
         "report_id", "address", "upvote", "downvote", "first_seen", "last_seen"
     )
 
 
 @query
 def w3_stream_batch_log(spark, sf):
-    log = ingest.read_batch_log(spark, _refresh(spark, sf)[1])
+    log = keyed.read_log(spark, _refresh(spark, sf)[1])
     return log.agg(
         F.sum("total_reports").alias("total_reports"), F.sum("new_reports").alias("new_reports"),
         F.max("timestamp").alias("last_poll"),
@@ -1371,14 +1371,30 @@ def w4_stream_sliding_counts(spark, sf):
     return ingest.read_latest(spark, out, ["window_start", "window_end", "zone_id"])
 
 
-@query
-def w5_stream_sessions(spark, sf):
-    out, ck = I.folder(spark, "sessions"), I.folder(spark, "ck")
+def _with_closing(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Events, and a row of no place, far ahead, that moves the watermark past the last sessions."""
     df = _landing(spark, sf)
-    # A row of no place, far ahead, moves the watermark past the last sessions.
     later = F.lit("2100-06-01").cast("timestamp_ntz")
     values = {"ts": later, "seen_at": later, "zone_id": F.lit(""), "grid_cell": F.lit("")}
     closing = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df, closing
+
+
+@query
+def w5_stream_sessions(spark, sf):
+    """The middle slice lands last, days behind the watermark."""
+    out, ck = I.folder(spark, "sessions"), I.folder(spark, "ck")
+    df, closing = _with_closing(spark, sf)
+    sink = sessions.sessions_sink(out, gap_minutes=240)
+    _land(spark, df, lambda s: ingest.run_available(s, ck, "append", each=sink), order=(0, 2, 1), last=closing)
+    return sessions.read_sessions(spark, out, gap_minutes=240).filter("grid_cell <> ''").drop("state")
+
+
+@query
+def w5_stream_sessions_in_order(spark, sf):
+    """Sessions of Spark's own state, which drops what comes late: the slices land in time order."""
+    out, ck = I.folder(spark, "sessions"), I.folder(spark, "ck")
+    df, closing = _with_closing(spark, sf)
     _land(
         spark, df,
         lambda s: ingest.run_available(ingest.stream_sessions(s, gap="240 minutes"), ck, "append", path=out),

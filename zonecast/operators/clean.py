@@ -55,10 +55,10 @@ NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 REFRESHED = ("upvote", "downvote", "lastupdate_dt", "user_up", "user_down")
 
 
-def refresh_partials(
+def refresh_aggregates(
     df: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED, tie: Sequence[str] = ()
-) -> DataFrame:
-    """Mergeable state per id: first record, last value of each mutable field, span.
+) -> list[Column]:
+    """Mergeable state of an id's copies: first record, last value of each mutable field, span.
 
     A copy without a value leaves the field as it was: null, an empty text, and for
     numbers 0. The text "0" is a value, so cast votes that come as text afterwards.
@@ -71,19 +71,33 @@ def refresh_partials(
     start = lambda c: F.struct(
         order.alias("o"), (F.coalesce(F.col(c), nothing[c]) if c in nothing else F.col(c)).alias("v")
     )
-    return (
-        df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-        .groupBy(key)
-        .agg(
-            F.min(F.struct(order.alias("o"), F.struct(*fixed).alias("v"))).alias("first_row"),
-            *[
-                F.max(F.when(truthy(c), F.struct(order.alias("o"), F.col(c).alias("v")))).alias(f"last_{c}")
-                for c in mutable
-            ],
-            *[F.min(start(c)).alias(f"start_{c}") for c in mutable],
-            F.min("seen_at").alias("first_seen"),
-            F.max("seen_at").alias("last_seen"),
-        )
+    return [
+        F.min(F.struct(order.alias("o"), F.struct(*fixed).alias("v"))).alias("first_row"),
+        *[F.max(F.when(truthy(c), F.struct(order.alias("o"), F.col(c).alias("v")))).alias(f"last_{c}") for c in mutable],
+        *[F.min(start(c)).alias(f"start_{c}") for c in mutable],
+        F.min("seen_at").alias("first_seen"),
+        F.max("seen_at").alias("last_seen"),
+    ]
+
+
+def refresh_partials(
+    df: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED, tie: Sequence[str] = ()
+) -> DataFrame:
+    """The states of :func:`refresh_aggregates` for every id of a table."""
+    return df.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(*refresh_aggregates(df, key, mutable, tie))
+
+
+def combine_partials(
+    partials: DataFrame, key: str = "report_id", mutable: Sequence[str] = REFRESHED
+) -> DataFrame:
+    """Fold any number of partial states into one per id."""
+    mutable = [c for c in mutable if f"last_{c}" in partials.columns]
+    return partials.groupBy(key).agg(
+        F.min("first_row").alias("first_row"),
+        *[F.max(f"last_{c}").alias(f"last_{c}") for c in mutable],
+        *[F.min(f"start_{c}").alias(f"start_{c}") for c in mutable],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
     )
 
 
@@ -93,14 +107,7 @@ def merge_partials(
     """Fold any number of partial states into one row per id."""
     mutable = [c for c in mutable if f"last_{c}" in partials.columns]
     return (
-        partials.groupBy(key)
-        .agg(
-            F.min("first_row").alias("first_row"),
-            *[F.max(f"last_{c}").alias(f"last_{c}") for c in mutable],
-            *[F.min(f"start_{c}").alias(f"start_{c}") for c in mutable],
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
-        )
+        combine_partials(partials, key, mutable)
         .select(
             key,
             F.col("first_row.v.*"),
