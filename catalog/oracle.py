@@ -381,6 +381,7 @@ O["i1_read_report_archive"] = q(
  CASE WHEN event_id%4>0 THEN downvote ELSE 0 END downvote FROM rep""",
     "rep",
 )
+O["i1_split_archive"] = O["i1_read_report_archive"]
 O["i2_salvage_quarantine"] = q("SELECT event_id//500 b, 1::BIGINT pieces FROM rep GROUP BY 1", "rep")
 O["i2_salvage_reports"] = q(
     """SELECT report_id, lat, lng, '{at} "'||address address, upvote, CASE WHEN event_id%4>0 THEN downvote ELSE 0 END downvote FROM rep
@@ -396,6 +397,11 @@ O["i4_resolve_columns"] = q(
     "rep",
 )
 O["i5_append_and_rebuild"] = q("SELECT 2*count(*) appended_rows, count(*) rebuilt_rows FROM rep", "rep")
+O["i5_replace_days"] = q(
+    """SELECT CAST(create_dt AS DATE) "day", count(*) reports, max(report_id) last_id FROM rep WHERE CASE WHEN CAST(create_dt AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06')
+ THEN event_id%2=0 ELSE CAST(create_dt AS DATE)<>DATE '2024-01-07' END GROUP BY 1""",
+    "rep",
+)
 O["i6_events_since"] = q("SELECT event_id, ts, zone_id FROM ev WHERE ts>=TIMESTAMP '2024-01-20 12:00:00' ORDER BY ts, event_id", "ev")
 O["i6_all_events"] = q("SELECT event_id, ts, grid_cell FROM ev ORDER BY ts, event_id", "ev")
 O["i7_coverage_days"] = q(

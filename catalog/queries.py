@@ -28,7 +28,7 @@ from zonecast.operators import (
 )
 from zonecast.plans import runs
 from zonecast.session import materialize
-from zonecast.sources import adapter, archive
+from zonecast.sources import adapter, archive, ranges, versioned
 from zonecast.streaming import ingest, keyed, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,12 @@ def i1_read_report_archive(spark, sf):
     return archive.read_report_archive(spark, I.archive_files(spark, sf) + "/*/*.txt")
 
 
+@query
+def i1_split_archive(spark, sf):
+    """The same archives by byte ranges that many tasks share."""
+    return ranges.read_report_ranges(spark, I.archive_files(spark, sf) + "/*/*.txt")
+
+
 def _salvaged(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Both halves of archive files whose ends are cut off and whose addresses hold braces."""
     path = I.folder(spark, "damaged")
@@ -107,12 +113,24 @@ def i5_append_and_rebuild(spark, sf):
     archive.append_reports(rep, path)
     appended = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("appended_rows"))
     table = I.folder(spark, "events")
-    archive.rebuild_events(rep.limit(1), table)
-    archive.rebuild_events(rep, table)
-    rebuilt = spark.read.parquet(table).agg(F.count(F.lit(1)).alias("n")).scalar()
+    archive.rebuild_events(rep.limit(1), table, "create_dt")
+    archive.rebuild_events(rep, table, "create_dt")
+    rebuilt = versioned.read_version(spark, table).agg(F.count(F.lit(1)).alias("n")).scalar()
     return appended.withColumn("rebuilt_rows", rebuilt)
 
 
+@query
+def i5_replace_days(spark, sf):
+    """Two days are replaced by shifted rows, then one more is emptied; days as read back."""
+    rep = I.reports(spark, sf).select("report_id", "create_dt")
+    path = I.folder(spark, "by_day")
+    versioned.replace_table(rep, path, F.col("create_dt"))
+    some = rep.filter(F.to_date("create_dt").isin("2024-01-05", "2024-01-06") & (F.col("report_id").cast("long") % 2 == 0))
+    versioned.replace_days(some, path, F.col("create_dt"), also=("2024-01-07",))
+    read = versioned.read_version(spark, path)
+    return read.groupBy(F.to_date("create_dt").alias("day")).agg(F.count(F.lit(1)).alias("reports"), F.max("report_id").alias("last_id"))
+
+
 @query
 def i6_events_since(spark, sf):
     return archive.events_since(I.events(spark, sf), "2024-01-20 12:00:00").select("event_id", "ts", "zone_id")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonecast.sources import versioned
+
 RECORD = (
     "alert_record_id string, lat string, lng string, address string, alert_type string, "
     "create_dt string, lastupdate_dt string, upvote string, downvote string"
@@ -144,9 +146,9 @@ def append_reports(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def rebuild_events(df: DataFrame, path: str) -> None:
-    """Replace the event table."""
-    df.write.mode("overwrite").parquet(path)
+def rebuild_events(df: DataFrame, path: str, time: str = "ts") -> int:
+    """Replace the event table by a new version that readers see at once; read it with ``versioned.read_version``."""
+    return versioned.replace_table(df, path, F.col(time))
 
 
 def events_since(df: DataFrame, since: str, time: str = "ts", key: str = "event_id") -> DataFrame:
