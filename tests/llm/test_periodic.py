@@ -15,13 +15,13 @@ from zonecast.llm.queries import QUERIES
 def plain_runs(words):
     """Every stretch of every period, the smallest period of each kept."""
     found = {}
+    ids = np.unique(np.array(words, object), return_inverse=True)[1] if words else np.empty(0)
     for q in range(1, len(words) // 4 + 1):
-        start = 0
-        for i in range(len(words) - q + 1):
-            if i == len(words) - q or words[i] != words[i + q]:
-                if i - start + q >= max(6, 4 * q) and i > start:
-                    found.setdefault((start, i + q), q)
-                start = i + 1
+        wrong = np.flatnonzero(np.append(ids[:-q] != ids[q:], True))
+        starts = np.append(0, wrong[:-1] + 1)
+        for start, end in zip(starts.tolist(), wrong.tolist()):
+            if end > start and end - start + q >= max(6, 4 * q):
+                found.setdefault((start, end + q), q)
     return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
 
 
