@@ -706,11 +706,21 @@ O["z17_line_context"] = q(
     "lines",
 )
 O["z18_add_engineered"] = q(
-    f"""SELECT z.target_time, z.zone_id, zr.n24 neighbor_event_count_24h, zr.r24 ring2_event_count_24h, zr.ra ring2_active_zones_24h,
- round(sin({_TAU}*hr_/24e0),6) hour_sin, round(cos({_TAU}*dw/7e0),6) dow_cos, 999999e0 nearest_road_m
- FROM zb z JOIN zr USING (target_time,zone_id)""",
+    f"""SELECT z.target_time, z.zone_id, round(z.zone_lat,6) zone_lat, round(z.zone_lng,6) zone_lng,
+ round({ratio('c3', 'c24')},6) zone_3h_to_24h_ratio, round({ratio('c24', 'c7')},6) zone_24h_to_7d_ratio, round({ratio('d3', 'd24')},6) district_3h_to_24h_ratio, {cycles('hr_', 'dw')},
+ zr.n3 neighbor_event_count_3h, zr.n24 neighbor_event_count_24h, zr.n7 neighbor_event_count_7d, na neighbor_active_zones_24h,
+ r24 ring2_event_count_24h, r7 ring2_event_count_7d, ra ring2_active_zones_24h, round({ratio('r24', 'zr.n24')},6) ring2_to_ring1_24h_ratio,
+ round(sh,6) zone_24h_share_of_district, r zone_7d_rank_in_district, round(p,6) zone_same_hour_percentile_in_district,
+ near.n3 distance_to_nearest_event_3h_m, near.n24 distance_to_nearest_event_24h_m,
+ coalesce(round({metres('z.zone_lat', 'z.zone_lng', 'coalesce(g.y,c.y)', 'coalesce(g.x,c.x)')},3),999999e0) distance_to_district_recent_centroid_24h_m,
+ 999999e0 nearest_road_m, 0e0 road_segment_count, 0e0 road_source_mismatch, 0e0 has_drivable_road
+ FROM zb z JOIN zr USING (target_time,zone_id) JOIN rel USING (target_time,zone_id) JOIN near USING (target_time,zone_id)
+ LEFT JOIN (SELECT target_time, district, {_CEN} FROM zb WHERE c24>0 GROUP BY 1,2) g ON g.target_time=z.target_time AND g.district=z.district
+ LEFT JOIN (SELECT target_time, {_CEN} FROM zb WHERE c24>0 GROUP BY 1) c ON c.target_time=z.target_time""",
     "zb",
     "zr",
+    "rel",
+    "near",
 )
 
 # --- city features -------------------------------------------------------------------------
@@ -797,7 +807,9 @@ O["m8_group_count_stats"] = q(
  max(n) max_count, arg_min(district,(-n,district)) max_group, round(quantile_cont(n,0.5),6) median_count FROM (SELECT district, count(*) n FROM ev GROUP BY 1)""",
     "ev",
 )
-O["m8_empty_groups"] = q("SELECT district FROM poly WHERE district NOT IN (SELECT district FROM pipall)", "poly", "pipall")
+O["m8_empty_groups"] = q(
+    "SELECT district FROM (SELECT district FROM poly UNION ALL SELECT r_name FROM region) WHERE district NOT IN (SELECT district FROM pipall)", "poly", "pipall"
+)
 O["m9_report_totals"] = q(
     """SELECT count(*) total, count(DISTINCT district) districts, count(DISTINCT region) regions, strftime(min(ts),'%Y-%m-%d %H:%M') first_dt,
  strftime(max(ts),'%Y-%m-%d %H:%M') last_dt, (epoch_us(max(ts))-epoch_us(min(ts)))//86400000000+1 days_span FROM ev""",
@@ -1089,6 +1101,12 @@ O["k7_cell_forecast"] = q(
     "fc",
     "ev",
 )
+O["k7_recent_events"] = q(
+    f"""SELECT grid_cell, CAST(n-1 AS INTEGER) place, round(lat,6) lat, round(lng,6) lng, address, ts, report_count FROM (
+ SELECT ev.*, row_number() OVER (PARTITION BY grid_cell ORDER BY ts, event_id) n FROM ev WHERE ts>={_AT}-INTERVAL 24 HOUR) JOIN (SELECT grid_cell FROM fc WHERE p>=0.7) USING (grid_cell) WHERE n<=5""",
+    "fc",
+    "ev",
+)
 cte(
     "pts",
     f"""SELECT c_custkey point_id, {d(22.2)}+CAST(c_custkey*31%300 AS DOUBLE)/1.0e3 lat, {d(113.9)}+CAST(c_custkey*71%400 AS DOUBLE)/1.0e3 lng,
@@ -1124,6 +1142,12 @@ O["k8_score_locations"] = q(
     "pts",
     "snap1",
 )
+O["k8_hot_zones"] = q(
+    f"""SELECT point_id, CAST(zr_-1 AS INTEGER) place, zone_id, district, region, round(score,6) score, zr_ AS rank, round({kilometres('lat', 'lng', 'zone_lat', 'zone_lng')},3) distance_km
+ FROM (SELECT pts.*, mt FROM pts JOIN ptm USING (rt)) JOIN snap1 ON target_time=mt WHERE zr_<=5""",
+    "pts",
+    "snap1",
+)
 O["k9_score_multi_horizon"] = q(
     f"""SELECT point_id, a.risk_band risk_1h, round(a.score,6) score_1h, a.rank rank_1h, b.risk_band risk_2h, round(b.score,6) score_2h, b.rank rank_2h
  FROM ({located('snap1')}) a JOIN ({located('snap2')}) b USING (point_id)""",

@@ -560,13 +560,13 @@ def z17_line_context(spark, sf):
 
 @query
 def z18_add_engineered(spark, sf):
-    base = I.zone_base(spark, sf).select(
+    """All that the step adds to a bare zone-time frame: ratios, cycles, rings, ranks, distances, line columns."""
+    bare = I.zone_base(spark, sf).select(
         "target_time", "zone_id", "district", "hour", "day_of_week", "zone_event_count_3h", "zone_event_count_24h",
         "zone_event_count_7d", "district_event_count_3h", "district_event_count_24h", "zone_same_hour_rate",
     )
-    # The nearest event and the ranks are compared by z13 to z16; here the columns that this step puts together.
-    wanted = ["neighbor_event_count_24h", "ring2_event_count_24h", "ring2_active_zones_24h", "hour_sin", "dow_cos", "nearest_road_m"]
-    return r6(zones.add_engineered(base).select("target_time", "zone_id", *wanted))
+    full = zones.add_engineered(bare)
+    return r6(full.select("target_time", "zone_id", *[c for c in full.columns if c not in bare.columns]))
 
 
 CITY_GROUPS = {
@@ -639,7 +639,8 @@ def m8_group_count_stats(spark, sf):
 
 @query
 def m8_empty_groups(spark, sf):
-    refs = I.polygons(spark, sf).select("district")
+    # Regions have no polygon of their own, so their names stay empty.
+    refs = I.polygons(spark, sf).select("district").union(I.table(spark, sf, "region").select("r_name"))
     found = spatial.point_in_polygon_join(I.reports(spark, sf), "report_id", I.edges(spark, sf))
     return marts.empty_groups(refs, found)
 
@@ -985,6 +986,22 @@ def k7_cell_forecast(spark, sf):
     )
 
 
+@query
+def k7_recent_events(spark, sf):
+    """The events that the forecast lists for each high-risk cell, in order."""
+    at, ev = F.lit("2024-01-21 10:20:30"), I.events(spark, sf)
+    prob = F.least(F.lit(1.0), F.col("cell_7d_count") / F.lit(25.0)).alias("probability")
+    forecast = scoring.cell_forecast(cells.cell_features_at(ev, at).select("grid_cell", "district", "region", prob), ev, at)
+    return r6(forecast.select("grid_cell", F.posexplode("recent_events").alias("place", "e")).select("grid_cell", "place", "e.*"))
+
+
+@query
+def k8_hot_zones(spark, sf):
+    """All hot zones that a location is shown, with their places."""
+    got = scoring.score_locations(I.points(spark, sf), I.scored(spark, sf))
+    return r6(got.select("point_id", F.posexplode("hot_zones").alias("place", "z")).select("point_id", "place", "z.*"))
+
+
 @query
 def k8_score_locations(spark, sf):
     got = scoring.score_locations(I.points(spark, sf), I.scored(spark, sf))

@@ -59,7 +59,7 @@ def made_up(n, seed=3):
 SCHEMA = "id long, near double, noise double, count double, gaps double, none double, same double, y int"
 
 
-@pytest.mark.parametrize(("n", "block"), [(5_000, 1 << 16), (5_000, 300), (700, 7)])
+@pytest.mark.parametrize(("n", "block"), [(5_000, 300), (700, 7)])
 def test_equals_all_distances(spark, n, block):
     rows = made_up(n)
     df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(5)

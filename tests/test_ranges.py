@@ -38,7 +38,7 @@ def written(folder, n, seed=1, **dump):
     return str(folder)
 
 
-@pytest.mark.parametrize("size", [40, 97, 1000, 1 << 27])
+@pytest.mark.parametrize("size", [67, 1000])
 def test_any_cut_reads_the_same(spark, tmp_path, cut_at, size):
     n = 4 if size < 1000 else 60
     for k, dump in enumerate(({"indent": 1}, {"separators": (",", ":")})):
@@ -50,7 +50,7 @@ def test_any_cut_reads_the_same(spark, tmp_path, cut_at, size):
         cut_at(1 << 27)
 
 
-@pytest.mark.parametrize("size", [50, 300, 1 << 27])
+@pytest.mark.parametrize("size", [50, 1 << 27])
 def test_a_file_that_breaks_off_keeps_its_whole_entries(spark, tmp_path, cut_at, size):
     records = {f"k{i}": {"lat": str(i), "address": ODD[i % len(ODD)]} for i in range(20)}
     text = json.dumps({"alerts": records}, ensure_ascii=False)

@@ -32,7 +32,7 @@ def test_a_batch_costs_what_it_holds(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     ingest.run_available(keyed.refresh_states(source), ck, "update", each=each)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     logged = sorted((r.batch_id, r.total_reports, r.new_reports) for r in keyed.read_log(spark, log, 4).collect())
