@@ -459,6 +459,7 @@ O["c1_event_totals"] = q(
  max(create_dt) last_dt, 0::BIGINT repeated_ids, 0::BIGINT wrong_rows FROM rep""",
     "rep",
 )
+O["c1_kept_up_to_date"] = O["c1_event_totals"].replace("0::BIGINT wrong_rows", "0::BIGINT wrong_rows, 0::BIGINT elsewhere")
 O["c2_spot_presence"] = q("SELECT i, j, b, t0, t1, n, run FROM pres", "pres")
 _BOX_GAP = "greatest(0e0, y.{c}0-x.{c}1, x.{c}0-y.{c}1)*111000e0"
 O["c2_link_runs"] = q(

@@ -26,7 +26,7 @@ from zonecast.operators import (
     splits,
     zone_features as zones,
 )
-from zonecast.plans import runs
+from zonecast.plans import runs, upkeep
 from zonecast.session import materialize
 from zonecast.sources import adapter, archive, ranges, versioned
 from zonecast.streaming import ingest, keyed, sessions
@@ -253,10 +253,25 @@ def c1_consolidate_events(spark, sf):
     return r6(clean.consolidate_events(I.reports(spark, sf)))
 
 
+@query
+def c1_kept_up_to_date(spark, sf):
+    """Clusters from three batches, the oldest last: their totals, and the reports that a full run puts elsewhere."""
+    rep, path = I.reports(spark, sf), I.folder(spark, "clusters")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    for since, until in (("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01"), ("1970-01-01", "2024-01-10")):
+        upkeep.update_clusters(rep.filter((F.col("create_dt") >= at(since)) & (F.col("create_dt") < at(until))), path)
+    mine = upkeep.read_members(spark, path).select("report_id", F.col("cluster_id").alias("mine"))
+    elsewhere = clean.assign_clusters(rep).join(mine, "report_id", "left").filter(~F.col("mine").eqNullSafe(F.col("cluster_id")))
+    return _event_totals(upkeep.read_events(spark, path)).withColumn("elsewhere", elsewhere.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 @query
 def c1_event_totals(spark, sf):
     """What any right clustering keeps: every report is in one event, votes and times add up."""
-    e = clean.consolidate_events(I.reports(spark, sf))
+    return _event_totals(clean.consolidate_events(I.reports(spark, sf)))
+
+
+def _event_totals(e: DataFrame) -> DataFrame:
     span = F.timestamp_diff("MICROSECOND", F.col("create_dt"), F.col("end_dt")) / F.lit(6e7)
     return e.agg(
         F.sum("report_count").alias("reports"),

@@ -150,17 +150,13 @@ def _microseconds() -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("create_dt"))
 
 
-def spot_presence(reports: DataFrame) -> DataFrame:
-    """One row per (micro cell, 15-minute bucket) with its time span, its box and its run id.
-
-    A run is an unbroken stretch of activity in one micro cell. Sessions are cut
-    on the bucketed table, so a busy spot costs its number of buckets.
-    """
+def spot_rows(reports: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+    """One row per (micro cell, 15-minute bucket) and ``also`` with its time span and its box."""
     i, j = _micro(F.col("lat"), F.col("lng"))
-    spots = (
-        reports.select(i.alias("i"), j.alias("j"), "lat", "lng", _microseconds().alias("us"))
+    return (
+        reports.select(i.alias("i"), j.alias("j"), "lat", "lng", _microseconds().alias("us"), *also)
         .withColumn("b", F.floor(F.col("us") / F.lit(_BUCKET_US)))
-        .groupBy("i", "j", "b")
+        .groupBy("i", "j", "b", *also)
         .agg(
             F.min("us").alias("t0"),
             F.max("us").alias("t1"),
@@ -171,6 +167,15 @@ def spot_presence(reports: DataFrame) -> DataFrame:
             F.max("lng").alias("x1"),
         )
     )
+
+
+def spot_presence(reports: DataFrame) -> DataFrame:
+    """The rows of :func:`spot_rows`, each with its run id.
+
+    A run is an unbroken stretch of activity in one micro cell. Sessions are cut
+    on the bucketed table, so a busy spot costs its number of buckets.
+    """
+    spots = spot_rows(reports)
     w = W.partitionBy("i", "j").orderBy("b")
     fresh = F.when(F.col("t0") - F.lag("t1").over(w) <= _BUCKET_US, None).otherwise(F.col("b"))
     marked = spots.withColumn("_start", fresh)
@@ -304,7 +309,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if part != label:
                 label, state = part, _OpenClusters()
             owners.append(state.owner(rid, float(lat), float(lng), int(us)))
-        yield pd.DataFrame({"report_id": rows["report_id"].to_numpy(), "cluster_id": owners})
+        yield pd.DataFrame({"report_id": rows["report_id"].to_numpy(), "cluster_id": owners, "label": rows["label"].to_numpy()})
+
+
+def label_clusters(reports: DataFrame) -> DataFrame:
+    """(report_id, cluster_id, label): clusters as in :func:`assign_clusters`, with the component that each belongs to."""
+    placed = _place_reports(reports).repartition("label").sortWithinPartitions("label", "us", "report_id")
+    return placed.mapInPandas(_fold, "report_id string, cluster_id string, label string")
 
 
 def assign_clusters(reports: DataFrame) -> DataFrame:
@@ -313,17 +324,19 @@ def assign_clusters(reports: DataFrame) -> DataFrame:
     Components are independent and read once each, in time order, in a stream. A
     component that never falls silent stays one stream by the rule itself.
     """
-    placed = _place_reports(reports).repartition("label").sortWithinPartitions("label", "us", "report_id")
-    return placed.mapInPandas(_fold, "report_id string, cluster_id string")
+    return label_clusters(reports).select("report_id", "cluster_id")
 
 
 def consolidate_events(reports: DataFrame) -> DataFrame:
     """Merge reports within 20 m and 15 minutes into events."""
-    owners = assign_clusters(reports)
+    return merge_clusters(reports.join(assign_clusters(reports), "report_id"))
+
+
+def merge_clusters(members: DataFrame) -> DataFrame:
+    """One event per ``cluster_id`` of its reports."""
     member = F.struct("create_dt", "report_id")
     merged = (
-        reports.join(owners, "report_id")
-        .groupBy("cluster_id")
+        members.groupBy("cluster_id")
         .agg(
             F.avg("lat").alias("lat"),
             F.avg("lng").alias("lng"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,14 +90,16 @@ def _publish(df: DataFrame, path: str, day: Column, merged) -> int:
             return last + 1
 
 
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Rows of the newest version, or of an older one that is still there."""
+def read_version(
+    spark: SparkSession, path: str, version: int | None = None, days: Collection[str] | None = None
+) -> DataFrame:
+    """Rows of the newest version, or of an older one that is still there; of some ``days`` only, no others are read."""
     found = versions(spark, path)
     if version is None and not found:
         raise FileNotFoundError(f"no version was committed to {path}")
     content = _manifest(spark, path, found[-1] if version is None else version)
     schema = StructType.fromJson(content["schema"])
-    folders = [f"{path}/{f}" for f in content["days"].values()]
+    folders = [f"{path}/{f}" for d, f in content["days"].items() if days is None or d in days]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
