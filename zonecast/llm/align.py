@@ -25,6 +25,8 @@ RANGE = 1 << 16
 SLACK = 1 << 12
 #: Fragments that one step of the tree composes.
 FAN = 8
+#: Bytes of text that a worker holds the tokens of at once.
+BATCH = 1_000_000
 #: Commonest id pairs that every task is sent; the others are joined.
 KNOWN = 1 << 20
 
@@ -236,7 +238,7 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = RANGE) -
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = loaded(byte_file, piece_file)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH):
             pieces = [b" " + t.encode() for t in texts_of(batch)]
             yield finished(batch.column("doc_id"), fragments(pieces, [(0, len(p)) for p in pieces], pair))
 
@@ -254,7 +256,7 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = RANGE) -
 
     def of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = loaded(byte_file, piece_file)
-        for batch in slices(batches, "piece"):
+        for batch in slices(batches, "piece", BATCH):
             bounds = [*zip(batch.column("low").to_pylist(), batch.column("high").to_pylist())]
             parts = fragments(batch.column("piece").to_pylist(), bounds, pair)
             keys = [batch.column(c) for c in ("row", "doc_id", "k")]
