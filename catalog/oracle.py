@@ -388,6 +388,8 @@ O["i2_salvage_reports"] = q(
  WHERE event_id NOT IN (SELECT max(event_id) FROM rep GROUP BY event_id//500)""",
     "rep",
 )
+O["i2_split_reports"] = O["i2_salvage_reports"]
+O["i2_split_leftovers"] = O["i2_salvage_quarantine"]
 O["i3_ingest_audit"] = q(
     'SELECT count(*) "rows", count(DISTINCT report_id) distinct_ids, min(create_dt) min_time, max(create_dt) max_time FROM rc', "rc"
 )

@@ -65,14 +65,32 @@ def i1_split_archive(spark, sf):
     return ranges.read_report_ranges(spark, I.archive_files(spark, sf) + "/*/*.txt")
 
 
-def _salvaged(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Both halves of archive files whose ends are cut off and whose addresses hold braces."""
+def _damaged(spark, sf) -> str:
+    """Archive files whose ends are cut off and whose addresses hold braces and quotes."""
     path = I.folder(spark, "damaged")
     braces = F.regexp_replace("value", '"address":"', '"address":"{at} \\\\"')
     cut = I.archive_text(spark, sf).select("b", braces.alias("value"))
     cut = cut.select("b", F.substring("value", F.lit(1), F.length("value") - 40).alias("value"))
     cut.repartition("b").write.partitionBy("b").option("maxRecordsPerFile", 1).text(path)
-    return archive.salvage_reports(archive.read_text_files(spark, path + "/*/*.txt"))
+    return path + "/*/*.txt"
+
+
+def _salvaged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return archive.salvage_reports(archive.read_text_files(spark, _damaged(spark, sf)))
+
+
+@query
+def i2_split_reports(spark, sf):
+    """Whole records of the same files, read in byte ranges."""
+    found = ranges.read_report_ranges(spark, _damaged(spark, sf))
+    return found.select("report_id", "lat", "lng", "address", "upvote", "downvote")
+
+
+@query
+def i2_split_leftovers(spark, sf):
+    b = F.regexp_extract("file", "b=([0-9]+)", 1).cast("bigint")
+    rest = ranges.archive_segments(spark, _damaged(spark, sf)).filter(~F.col("whole"))
+    return rest.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("pieces"))
 
 
 @query
