@@ -1161,6 +1161,8 @@ def l2_train_candidates(spark, sf):
     busy = a.withColumn(y, _busy(spark, sf))
     out = None
     for name in models.CANDIDATES:
+        if name in models.RANKERS:
+            continue  # they need zones, see l2_ranker
         m, rate = models.fit(name, busy, y, models.ACTIVITY_NUMERIC, models.ACTIVITY_CATEGORICAL)
         one = models.predict(m, busy, models.ACTIVITY_NUMERIC, rate).select(
             F.lit(name).alias("model"), "target_time", "score", F.col(y).alias("actual")
