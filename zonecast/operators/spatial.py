@@ -12,6 +12,7 @@ from zonecast.functions import geo
 from zonecast.functions.stations import with_nearest_station
 from zonecast.functions.timecols import local_time
 from zonecast.operators.clean import COVERAGE_BOX, MODEL_BOX, in_bbox
+from zonecast.operators.cover import covering_polygon
 from zonecast.operators.nearest import leaf_index, leaf_pairs, nearest_join
 from zonecast.session import materialize
 
@@ -68,57 +69,6 @@ def _bin(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def polygon_strips(edges: DataFrame, width: float = 0.02) -> DataFrame:
-    """Polygons cut into bins; each bin row carries the edges a horizontal ray can meet."""
-    rows = edges.select(
-        "*",
-        F.explode(
-            F.sequence(_bin(F.least("y1", "y2"), width), _bin(F.greatest("y1", "y2"), width))
-        ).alias("by"),
-    )
-    strips = rows.groupBy("poly_id", "district", "region", "by").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-        F.min(F.least("x1", "x2")).alias("_x0"),
-        F.max(F.greatest("x1", "x2")).alias("_x1"),
-    )
-    return strips.select(
-        "poly_id",
-        "district",
-        "region",
-        "by",
-        "edges",
-        F.explode(F.sequence(_bin(F.col("_x0"), width), _bin(F.col("_x1"), width))).alias("bx"),
-    )
-
-
-def _covers(x: Column, y: Column, edges: Column) -> Column:
-    """Crossing parity over the strip's edges; a point on an edge is inside."""
-
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return spans & (x < at)
-
-    def touches(e: Column) -> Column:
-        return geo.segment_distance_deg(x, y, e["x1"], e["y1"], e["x2"], e["y2"]) <= 1e-12
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return F.exists(edges, touches) | odd
-
-
-def covering_polygon(df: DataFrame, key: str, edges: DataFrame, width: float = 0.02) -> DataFrame:
-    """(key, poly_id, district, region) of the first polygon that covers each point."""
-    pts = df.select(key, "lat", "lng", _bin(F.col("lat"), width).alias("by"), _bin(F.col("lng"), width).alias("bx"))
-    hit = pts.join(polygon_strips(edges, width), ["by", "bx"]).filter(
-        _covers(F.col("lng"), F.col("lat"), F.col("edges"))
-    )
-    return (
-        hit.groupBy(key)
-        .agg(F.min(F.struct("poly_id", "district", "region")).alias("_p"))
-        .select(key, "_p.*")
-    )
-
-
 def nearest_polygon(
     df: DataFrame, key: str, edges: DataFrame, leaf: float = 0.02, levels: int = 3
 ) -> DataFrame:
