@@ -3,12 +3,10 @@
 import json
 import random
 
-import pytest
-from pyspark.sql import functions as F
 
 from tests.helpers import t
 from zonecast import scale, session
-from zonecast.operators import metrics, models, nearest
+from zonecast.operators import metrics, models
 from zonecast.sources import archive
 from zonecast.streaming import ingest
 
@@ -56,12 +54,6 @@ def test_late_ids_are_kept(spark, tmp_path):
     assert sorted(r.report_id for r in spark.read.parquet(out).collect()) == ["a", "late"]
 
 
-def test_far_apart_positions_raise(spark):
-    points = lambda rows, c: spark.createDataFrame(rows, f"{c} string, lat double, lng double")
-    with pytest.raises(ValueError, match="degrees"):
-        nearest.nearest_join(points([("a", 0.0, 179.9)], "k"), points([("b", 0.0, -179.9)], "p"), [], ["k"], ["p"])
-
-
 def test_kept_tables_live_in_the_shared_folder(spark):
     df = session.materialize(spark.range(10).withColumn("x", F.col("id") * 2))
     assert all(f.startswith("file:") and "/kept-" in f for f in df.inputFiles())

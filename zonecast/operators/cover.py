@@ -139,9 +139,8 @@ def polygon_cover(edges: DataFrame, width: float = 0.02) -> DataFrame:
     wholly inside; otherwise it holds the edges that touch the cell, in no order. Edges with a null coordinate are left
     out; repeated edges count each time; no edges give no cells.
     """
-    known = " AND ".join(f"{c} IS NOT NULL" for c in _EDGE)
     none = F.lit(None).cast("bigint")
-    left = edges.filter(known).select(*_POLYGON, *_EDGE, none.alias("pi"), none.alias("pj"))
+    left = edges.dropna(subset=list(_EDGE)).select(*_POLYGON, *_EDGE, none.alias("pi"), none.alias("pj"))
     cover = None
     for depth in range(_DEPTH + 1):
         w = width / 4**depth
@@ -206,7 +205,7 @@ def covering_polygon(df: DataFrame, key: str, edges: DataFrame, width: float = 0
     ]
     if not asks:
         return df.select(key, *[F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in _POLYGON]).limit(0)
-    points = df.select(key, "lat", "lng", F.explode(F.array(*asks)).alias("_a")).select(key, "lat", "lng", "_a.*")
+    points = df.dropna(subset=["lat", "lng"]).select(key, "lat", "lng", F.explode(F.array(*asks)).alias("_a")).select(key, "lat", "lng", "_a.*")
     size = F.lit(width) / F.pow(F.lit(4.0), F.greatest(F.lit(0), -F.col("tag")))
     return (
         points.join(cover, ["tag", "i", "j"])

@@ -1,9 +1,9 @@
 """Exact nearest-neighbour join inside groups by pruning pairs of grid cells.
 
-Query cells and candidate cells are refined together from a coarse level to the
-leaf level. A pair is kept while its smallest possible distance does not exceed
-the best guaranteed distance of the query cell, so no row meets more than the
-few leaf cells that can hold its nearest candidate. All steps are equi-joins.
+Positions become points of the unit sphere, where straight-line distance orders pairs as distance on the ground does, so
+that poles and the antimeridian need no care. Cells of queries and of candidates are refined together from a coarse level
+to leaves, and on to finer cells where a leaf holds many candidates. A pair is kept while its smallest possible distance
+does not exceed the best that is certain for the query cell. All steps are equi-joins.
 """
 
 from __future__ import annotations
@@ -14,115 +14,153 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonecast.functions.geo import haversine_m
+from zonecast.functions.geo import EARTH_RADIUS_M, haversine_m
 from zonecast.session import materialize
 
-_M_PER_DEG = 111_194.926  # metres per degree on the mean sphere
-_FOLD = 2  # a parent cell is 2**_FOLD children wide
-_SLACK = 0.01  # covers the flat-earth error of cell bounds over _EXTENT degrees
-_EXTENT, _POLAR = 20.0, 75.0
+_FOLD = 2  # a parent cell is 2**_FOLD children wide on every axis
+_DEPTH = 12  # levels below the leaves
+MOST_CANDIDATES = 24  # a leaf with more is divided if many queries meet it
+_MOST_MEETINGS = 512
+_ROUNDING = 1e-9  # of a distance, relative; covers the arithmetic of bounds and of the distance itself
+SPHERE, PLANE = 3, 2  # number of axes
 
 
-def check_extent(queries: DataFrame, candidates: DataFrame) -> float:
-    """Degrees that positions span; raise where that is more than the bounds of cells hold for."""
-    both = queries.select(F.col("qy").alias("y"), F.col("qx").alias("x")).union(candidates.select("cy", "cx"))
-    e = both.agg(*[f(c).alias(f"{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))]).first()
-    if e["y0"] is None:
-        return 0.0
-    if e["y1"] - e["y0"] > _EXTENT or e["x1"] - e["x0"] > _EXTENT or max(abs(e["y0"]), abs(e["y1"])) > _POLAR:
-        raise ValueError(f"positions must span at most {_EXTENT} degrees, away from the antimeridian and the poles")
-    return max(e["y1"] - e["y0"], e["x1"] - e["x0"])
+def on_sphere(lat: Column, lng: Column) -> list[Column]:
+    """Coordinates on the unit sphere."""
+    y, x = F.radians(lat), F.radians(lng)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
 
 
-def coarse_level(extent: float, leaf: float) -> int:
-    """The lowest level at which an axis has at most four cells, so that few pairs start the search."""
-    level = 0
-    while extent > 4 * leaf * 2 ** (_FOLD * level):
-        level += 1
-    return level
+def as_side(side: str, position: Sequence[Column]) -> list[Column]:
+    """Position columns of queries (side q) or candidates (side c) for ``possible_meetings``."""
+    return [p.alias(f"{side}{a}") for a, p in enumerate(position)]
+
+
+def _index(value: Column, width: float) -> Column:
+    return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def leaf_index(value: Column, leaf: float) -> Column:
-    return F.floor(value / F.lit(leaf)).cast("bigint")
+def _ids(side: str, axes: int, parent: bool = False) -> list[str]:
+    return [f"{'p' if parent else ''}{side}i{a}" for a in range(axes)]
 
 
-def _bounds(pad: float, metric: str) -> tuple[Column, Column]:
-    """Smallest and largest distance between the contents of two cells.
+def _place(points: DataFrame, side: str, axes: int, width: float) -> DataFrame:
+    return points.withColumns({f"{side}i{a}": _index(F.col(f"{side}{a}"), width) for a in range(axes)})
 
-    Cells carry the bounding box of the points they really hold, so a cell with
-    one point is bounded exactly.
+
+def _cells(points: DataFrame, group: Sequence[str], side: str, axes: int, width: float) -> DataFrame:
+    """Cells of one level: index, index of the parent, box around what they hold, number of rows.
+
+    Candidates may have a size: then ``c{axis}_low`` and ``c{axis}_high`` bound them.
     """
-    gap = lambda a: F.greatest(
-        F.lit(0.0), F.col(f"c{a}0") - F.col(f"q{a}1"), F.col(f"q{a}0") - F.col(f"c{a}1")
-    )
-    reach = lambda a: F.greatest(
-        F.col(f"q{a}1") - F.col(f"c{a}0"), F.col(f"c{a}1") - F.col(f"q{a}0")
-    )
-    hyp = lambda x, y: F.sqrt(x * x + y * y)
-    if metric == "degrees":
-        return hyp(gap("x"), gap("y")) - F.lit(pad), hyp(reach("x"), reach("y")) + F.lit(pad)
-    low, high = F.least("qy0", "cy0"), F.greatest("qy1", "cy1")
-    widest = F.greatest(F.abs(low), F.abs(high))
-    narrowest = F.when(low * high <= 0, F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high)))
-    shrink, stretch = F.cos(F.radians(widest)), F.cos(F.radians(narrowest))
-    near = hyp(gap("x") * shrink, gap("y")) * F.lit(_M_PER_DEG * (1 - _SLACK))
-    far = hyp(reach("x") * stretch, reach("y")) * F.lit(_M_PER_DEG * (1 + _SLACK))
-    return near - F.lit(pad), far + F.lit(pad)
-
-
-def _level_cells(points: DataFrame, group: Sequence[str], side: str, level: int) -> DataFrame:
-    """Cells of one level: index, parent index, bounding box of their points."""
-    i, j = f"{side}i", f"{side}j"
-    shift = level * _FOLD
+    low = lambda a: f"{side}{a}_low" if f"{side}{a}_low" in points.columns else f"{side}{a}"
+    high = lambda a: f"{side}{a}_high" if f"{side}{a}_high" in points.columns else f"{side}{a}"
     return (
-        points.groupBy(*group, F.shiftright(i, shift).alias(i), F.shiftright(j, shift).alias(j))
+        _place(points, side, axes, width)
+        .groupBy(*group, *_ids(side, axes))
         .agg(
-            F.min(f"{side}y").alias(f"{side}y0"),
-            F.max(f"{side}y").alias(f"{side}y1"),
-            F.min(f"{side}x").alias(f"{side}x0"),
-            F.max(f"{side}x").alias(f"{side}x1"),
-        )
-        .withColumns(
-            {f"p{side}i": F.shiftright(i, _FOLD), f"p{side}j": F.shiftright(j, _FOLD)}
+            *[F.min(low(a)).alias(f"{side}{a}_from") for a in range(axes)],
+            *[F.max(high(a)).alias(f"{side}{a}_to") for a in range(axes)],
+            F.count(F.lit(1)).alias(f"n{side}"),
         )
+        .withColumns({f"p{i}": F.shiftright(i, _FOLD) for i in _ids(side, axes)})
     )
 
 
-def leaf_pairs(
-    queries: DataFrame,
-    candidates: DataFrame,
-    group: Sequence[str],
-    levels: int,
-    metric: str = "haversine",
-    pad: float = 0.0,
+def _bounds(axes: int) -> tuple[Column, Column]:
+    """Smallest and largest distance between what two cells hold."""
+    near = far = F.lit(0.0)
+    for a in range(axes):
+        ahead = F.col(f"c{a}_from") - F.col(f"q{a}_to")
+        behind = F.col(f"q{a}_from") - F.col(f"c{a}_to")
+        gap = F.greatest(F.lit(0.0), ahead, behind)
+        reach = F.greatest(F.col(f"c{a}_to") - F.col(f"q{a}_from"), F.col(f"q{a}_to") - F.col(f"c{a}_from"))
+        near, far = near + gap * gap, far + reach * reach
+    return F.sqrt(near) * (1 - _ROUNDING), F.sqrt(far) * (1 + _ROUNDING) + F.lit(1e-12)
+
+
+def _keep(met: DataFrame, group: Sequence[str], axes: int) -> DataFrame:
+    """Pairs that can hold a nearest candidate; the parent's bound holds for its children, so most go before the window."""
+    near, far = _bounds(axes)
+    q, c = _ids("q", axes), _ids("c", axes)
+    best = F.min("_far").over(W.partitionBy(*group, *q))
+    return (
+        met.select(*group, *q, *c, "nq", "nc", "_bound", near.alias("_near"), far.alias("_far"))
+        .filter("_near <= _bound")
+        .withColumn("_best", best)
+        .filter("_near <= _best")
+        .select(*group, *q, *c, "nq", "nc", "_best")
+    )
+
+
+def _start(queries: DataFrame, candidates: DataFrame, group: Sequence[str], axes: int, leaf: float) -> tuple[int, DataFrame | None]:
+    """A level at which candidates have at most three cells on an axis, and all pairs of its cells."""
+    bounds = [f(f"c{a}").alias(f"{k}{a}") for a in range(axes) for k, f in (("low", F.min), ("high", F.max))]
+    e = candidates.agg(*bounds).first()
+    if e["low0"] is None:
+        return 0, None
+    level = 0
+    while max(e[f"high{a}"] - e[f"low{a}"] for a in range(axes)) > 2 * leaf * 2 ** (_FOLD * level):
+        level += 1
+    width = leaf * 2 ** (_FOLD * level)
+    met = _cells(queries, group, "q", axes, width)
+    for a, i in enumerate(_ids("c", axes)):
+        span = F.sequence(_index(F.lit(e[f"low{a}"]), width), _index(F.lit(e[f"high{a}"]), width))
+        met = met.withColumn(i, F.explode(span))
+    met = met.join(_cells(candidates, group, "c", axes, width), [*group, *_ids("c", axes)])
+    return level, met.withColumn("_bound", F.lit(float("inf")))
+
+
+def _children(pairs: DataFrame, q: DataFrame, c: DataFrame, group: Sequence[str], axes: int, width: float) -> DataFrame:
+    ids = [*_ids("q", axes), *_ids("c", axes)]
+    parents = pairs.select(*group, *[F.col(i).alias(f"p{i}") for i in ids], F.col("_best").alias("_bound"))
+    return parents.join(_cells(c, group, "c", axes, width), [*group, *_ids("c", axes, True)]).join(
+        _cells(q, group, "q", axes, width), [*group, *_ids("q", axes, True)]
+    )
+
+
+def possible_meetings(
+    queries: DataFrame, candidates: DataFrame, group: Sequence[str], axes: int, leaf: float
 ) -> DataFrame:
-    """(group, qi, qj, ci, cj): leaf cells that can hold a query's nearest candidate.
+    """Queries next to the candidates that can be their nearest, all columns of both.
 
-    Queries carry their leaf cell (qi, qj) and position (qy, qx), candidates theirs.
+    Both are stored tables with ``group`` and positions named by ``as_side``; no position is null. No leaf with more than
+    ``MOST_CANDIDATES`` meets many queries, unless its candidates share one place.
     """
     group = list(group)
-    near, far = _bounds(pad, metric)
-    best = W.partitionBy(*group, "qi", "qj")
-    pairs = None
-    for level in range(levels, -1, -1):
-        q = _level_cells(queries, group, "q", level)
-        c = _level_cells(candidates, group, "c", level)
-        if pairs is None:
-            met = q.join(c, group).withColumn("_bound", F.lit(float("inf")))
-        else:
-            parents = pairs.select(
-                *group, *[F.col(k).alias(f"p{k}") for k in ("qi", "qj", "ci", "cj")], F.col("_best").alias("_bound")
+    level, met = _start(queries, candidates, group, axes, leaf)
+    if met is None:
+        return queries.join(candidates.limit(0), group or F.lit(False))
+    pairs = _keep(met, group, axes)
+    for at in range(level - 1, -1, -1):
+        pairs = _keep(_children(pairs, queries, candidates, group, axes, leaf * 2 ** (_FOLD * at)), group, axes)
+    crowded = (F.col("nc") > MOST_CANDIDATES) & (F.col("nq") * F.col("nc") > _MOST_MEETINGS)
+    q, c, out = queries, candidates, None
+    for depth in range(_DEPTH + 1):
+        width = leaf / 2 ** (_FOLD * depth)
+        pairs = materialize(pairs)
+        last = depth == _DEPTH or pairs.filter(crowded).isEmpty()
+        ready = pairs if last else pairs.filter(~crowded)
+        here = {s: _place(t, s, axes, width) for s, t in (("q", q), ("c", c))}
+        rows = (
+            ready.select(*group, *_ids("q", axes), *_ids("c", axes))
+            .join(here["c"], [*group, *_ids("c", axes)])
+            .join(here["q"], [*group, *_ids("q", axes)])
+            .drop(*_ids("q", axes), *_ids("c", axes))
+        )
+        out = rows if out is None else out.unionByName(rows)
+        if last:
+            return out
+        rest = pairs.filter(crowded)
+        # Only what lies in crowded pairs goes on.
+        q, c = (
+            materialize(
+                here[s].join(rest.select(*group, *_ids(s, axes)).distinct(), [*group, *_ids(s, axes)], "left_semi").drop(*_ids(s, axes))
             )
-            met = parents.join(c, [*group, "pci", "pcj"]).join(q, [*group, "pqi", "pqj"])
-        # The parent's guarantee holds for its children: most pairs go before the window.
-        pairs = (
-            met.select(*group, "qi", "qj", "ci", "cj", "_bound", near.alias("_near"), far.alias("_far"))
-            .filter("_near <= _bound")
-            .withColumn("_best", F.min("_far").over(best))
-            .filter("_near <= _best")
-            .select(*group, "qi", "qj", "ci", "cj", "_best")
+            for s in "qc"
         )
-    return pairs.drop("_best")
+        pairs = _keep(_children(rest, q, c, group, axes, width / 2**_FOLD), group, axes)
+    return out
 
 
 def nearest_join(
@@ -131,43 +169,27 @@ def nearest_join(
     group: Sequence[str],
     key: Sequence[str],
     payload: Sequence[str] = (),
-    leaf: float = 0.02,
+    leaf_m: float = 3000.0,
 ) -> DataFrame:
     """Nearest candidate of every query row that shares its ``group``.
 
-    Both sides carry ``lat`` and ``lng``. Returns group, key, ``distance_m`` and
-    the payload of the nearest candidate (smallest payload on ties). Queries whose
-    group has no candidate are absent. Coordinates that span over 20 degrees, cross
-    the antimeridian or lie near a pole raise an error.
+    Both sides carry ``lat`` and ``lng``, anywhere on the globe. Returns group, key, ``distance_m`` and the payload of the
+    nearest candidate (smallest payload on ties). A place is searched once, however many rows of one key or of several have
+    it. Queries with a null or NaN position, or whose group has no candidate, are absent; so are candidates without a position.
     """
     group, key, payload = list(group), list(key), list(payload)
-    side = lambda df, s, *cols: materialize(
-        df.select(
-            *(group or [F.lit(0).alias("_g")]),
-            *cols,
-            F.col("lat").alias(f"{s}y"),
-            F.col("lng").alias(f"{s}x"),
-            leaf_index(F.col("lat"), leaf).alias(f"{s}i"),
-            leaf_index(F.col("lng"), leaf).alias(f"{s}j"),
-        )
-    )
-    q = side(queries, "q", *key)
-    c = side(candidates, "c", *[F.col(p).alias(f"_c_{p}") for p in payload])
-    levels = coarse_level(check_extent(q, c), leaf)
-    by = group or ["_g"]
-    d = haversine_m(F.col("qy"), F.col("qx"), F.col("cy"), F.col("cx"))
-    met = (
-        leaf_pairs(q, c, by, levels)
-        .join(c, [*by, "ci", "cj"])
-        .join(q, [*by, "qi", "qj"])
-        .groupBy(*group, *key)
+    placed = lambda df: df.dropna(subset=["lat", "lng"])
+    best = F.min(F.struct(*payload)).alias("_p") if payload else F.first(F.lit(1)).alias("_p")
+    here, there = (on_sphere(F.col(f"{s}lat"), F.col(f"{s}lng")) for s in "qc")
+    named = lambda s: {"lat": f"{s}lat", "lng": f"{s}lng"}
+    asked = placed(queries).select(*group, *key, F.col("lat").alias("qlat"), F.col("lng").alias("qlng"))
+    q = materialize(asked.select(*group, "qlat", "qlng").distinct().select("*", *as_side("q", here)))
+    c = materialize(
+        placed(candidates).groupBy(*group, "lat", "lng").agg(best).withColumnsRenamed(named("c")).select("*", *as_side("c", there))
     )
-    if not payload:
-        return met.agg(F.min(d).alias("distance_m"))
-    best = met.agg(F.min(F.struct(d.alias("d"), *[f"_c_{p}" for p in payload])).alias("_b"))
-    return best.select(
-        *group,
-        *key,
-        F.col("_b.d").alias("distance_m"),
-        *[F.col(f"_b._c_{p}").alias(p) for p in payload],
+    d = haversine_m(F.col("qlat"), F.col("qlng"), F.col("clat"), F.col("clng"))
+    met = possible_meetings(q, c, group, SPHERE, leaf_m / EARTH_RADIUS_M)
+    found = met.groupBy(*group, "qlat", "qlng").agg(F.min(F.struct(d.alias("d"), "_p")).alias("_b"))
+    return asked.join(found, [*group, "qlat", "qlng"]).groupBy(*group, *key).agg(F.min("_b").alias("_b")).select(
+        *group, *key, F.col("_b.d").alias("distance_m"), *[F.col(f"_b._p.{p}").alias(p) for p in payload]
     )

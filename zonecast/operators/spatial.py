@@ -13,7 +13,7 @@ from zonecast.functions.stations import with_nearest_station
 from zonecast.functions.timecols import local_time
 from zonecast.operators.clean import COVERAGE_BOX, MODEL_BOX, in_bbox
 from zonecast.operators.cover import covering_polygon
-from zonecast.operators.nearest import leaf_index, leaf_pairs, nearest_join
+from zonecast.operators.nearest import PLANE, as_side, nearest_join, possible_meetings
 from zonecast.session import materialize
 
 
@@ -69,51 +69,35 @@ def _bin(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def nearest_polygon(
-    df: DataFrame, key: str, edges: DataFrame, leaf: float = 0.02, levels: int = 3
-) -> DataFrame:
+def nearest_polygon(df: DataFrame, key: str, edges: DataFrame, leaf: float = 0.02) -> DataFrame:
     """(key, poly_id, district, region) of the polygon at the smallest degree distance.
 
-    Edges are cut into pieces no longer than a leaf cell, so a cell bounds the
-    distance to its pieces; leaf pruning then leaves few pieces per point.
+    Edges are cut into pieces no longer than a leaf cell, each bounded by its own box, so few pieces are left per point.
+    A point without a position is absent, as are edges with a null coordinate.
     """
     n = F.greatest(
         F.lit(1),
         F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / F.lit(leaf)),
     )
-    pieces = edges.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    mid = (F.col("_k") - 0.5) / F.col("_n")
+    known = edges.dropna(subset=["x1", "y1", "x2", "y2"])
+    pieces = known.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    run = lambda a, share: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * share / F.col("_n")
+    # Ends of a piece, and its middle as the place that decides its cell.
+    ends = {a: (run(a, F.col("_k") - 1), run(a, F.col("_k"))) for a in "yx"}
     c = materialize(
         pieces.select(
-            "poly_id",
-            "district",
-            "region",
-            "x1",
-            "y1",
-            "x2",
-            "y2",
-            (F.col("y1") + (F.col("y2") - F.col("y1")) * mid).alias("cy"),
-            (F.col("x1") + (F.col("x2") - F.col("x1")) * mid).alias("cx"),
-            F.lit(0).alias("_g"),
-        ).withColumns({"ci": leaf_index(F.col("cy"), leaf), "cj": leaf_index(F.col("cx"), leaf)})
-    )
-    q = materialize(
-        df.select(
-            key,
-            F.col("lat").alias("qy"),
-            F.col("lng").alias("qx"),
-            leaf_index(F.col("lat"), leaf).alias("qi"),
-            leaf_index(F.col("lng"), leaf).alias("qj"),
-            F.lit(0).alias("_g"),
+            *("poly_id", "district", "region", "x1", "y1", "x2", "y2"),
+            *as_side("c", [run(a, F.col("_k") - 0.5) for a in "yx"]),
+            *[F.least(*ends[a]).alias(f"c{k}_low") for k, a in enumerate("yx")],
+            *[F.greatest(*ends[a]).alias(f"c{k}_high") for k, a in enumerate("yx")],
         )
     )
-    pairs = leaf_pairs(q, c, ["_g"], levels, metric="degrees", pad=leaf)
+    q = materialize(df.dropna(subset=["lat", "lng"]).select(key, *as_side("q", [F.col("lat"), F.col("lng")])))
     away = geo.segment_distance_deg(
-        F.col("qx"), F.col("qy"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
+        F.col("q1"), F.col("q0"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
     )
     return (
-        pairs.join(c, ["_g", "ci", "cj"])
-        .join(q, ["_g", "qi", "qj"])
+        possible_meetings(q, c, [], PLANE, leaf)
         .groupBy(key)
         .agg(F.min(F.struct(F.round(away, 12).alias("d"), "poly_id", "district", "region")).alias("_p"))
         .select(key, "_p.poly_id", "_p.district", "_p.region")
