@@ -69,3 +69,18 @@ def test_odd_rows(spark):
         empty = nearest.nearest_join(q, c.limit(0).withColumnRenamed("k", "p"), group, ["k"], ["p"])
         assert empty.count() == 0 and empty.columns == [*group, "k", "distance_m", "p"]
         assert nearest.nearest_join(q.limit(0), c, group, ["k"]).count() == 0
+
+
+def test_close_places_are_whole_up_to_the_last(spark):
+    """A dense spot, a loose one and a lone place: what is listed has nothing nearer left out."""
+    rnd = np.random.default_rng(5)
+    lat = np.concatenate([22.3 + rnd.random(200) * 0.01, 22.5 + rnd.random(60) * 0.5, [40.0]])
+    lng = np.concatenate([114.1 + rnd.random(200) * 0.01, 114.3 + rnd.random(60) * 0.5, [-179.9]])
+    places = materialize(table(spark, lat, lng, "place").drop("g"))
+    got = nearest.close_places(places).toPandas()
+    by = {p: g.sort_values("distance_m") for p, g in got.groupby("place")}
+    assert len(got) > 1000 and 260 not in by and max(len(g) for g in by.values()) == 12
+    for p, g in by.items():
+        d = metres(lat[p], lng[p], lat, lng)
+        nearer = np.sort(np.delete(d, p))[: len(g)]
+        assert np.abs(nearer - g.distance_m.to_numpy()).max() < 1e-3

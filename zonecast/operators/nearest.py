@@ -9,6 +9,7 @@ does not exceed the best that is certain for the query cell. All steps are equi-
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,46 @@ def possible_meetings(
     return out
 
 
+def close_places(places: DataFrame, most: int = 12, block: int = 64, start_m: float = 250.0, levels: int = 12) -> DataFrame:
+    """(place, near, distance_m): the nearest other places of each one, at most ``most``, complete up to the last one listed.
+
+    ``places`` is a stored table (place, lat, lng) of different positions. Each place looks around in the largest of
+    ``levels`` cell sizes whose cell and its neighbours hold at most ``block`` places, and no further than one cell, so its
+    list may be short or empty beside a crowd; whoever finds nothing in the list has to search beyond it.
+    """
+    at = on_sphere(F.col("lat"), F.col("lng"))
+    known = places.select("*", *as_side("q", at), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    width = F.lit(start_m / EARTH_RADIUS_M) * F.pow(F.lit(2.0), F.col("level"))
+    cell = [f"i{a}" for a in range(SPHERE)]
+    placed = materialize(known.withColumns({c: F.floor(F.col(f"q{a}") / width).cast("bigint") for a, c in enumerate(cell)}))
+    steps = [F.struct(*[F.lit(d - 1).alias(f"d{a}") for a, d in enumerate(s)]) for s in product(range(3), repeat=SPHERE)]
+    around = placed.withColumn("_s", F.explode(F.array(*steps))).select(
+        "place", "lat", "lng", "level", *[(F.col(c) + F.col(f"_s.d{a}")).alias(c) for a, c in enumerate(cell)]
+    )
+    held = placed.groupBy("level", *cell).agg(F.count(F.lit(1)).alias("held"))
+    chosen = (
+        around.join(held, ["level", *cell])
+        .groupBy("place", "level")
+        .agg(F.sum("held").alias("held"))
+        .filter(F.col("held") <= block)
+        .groupBy("place")
+        .agg(F.max("level").alias("level"))
+    )
+    others = placed.select("level", *cell, F.col("place").alias("near"), F.col("lat").alias("_y"), F.col("lng").alias("_x"))
+    d = haversine_m(F.col("lat"), F.col("lng"), F.col("_y"), F.col("_x"))
+    reach = F.lit(start_m * (1 - 1e-6)) * F.pow(F.lit(2.0), F.col("level"))
+    order = W.partitionBy("place").orderBy("distance_m", "near")  # at most ``block`` rows
+    return (
+        around.join(chosen, ["place", "level"])
+        .join(others, ["level", *cell])
+        .withColumn("distance_m", d)
+        .filter((F.col("place") != F.col("near")) & (F.col("distance_m") <= reach))
+        .withColumn("_n", F.row_number().over(order))
+        .filter(F.col("_n") <= most)
+        .select("place", "near", "distance_m")
+    )
+
+
 def nearest_join(
     queries: DataFrame,
     candidates: DataFrame,

@@ -18,7 +18,7 @@ from zonecast.functions.timecols import (
     with_cycles,
     zone_target,
 )
-from zonecast.operators.nearest import nearest_join
+from zonecast.operators.nearest import close_places, nearest_join
 from zonecast.operators.spatial import neighbors
 from zonecast.operators.windows import (
     axis_bounds,
@@ -250,30 +250,50 @@ def add_district_relative(df: DataFrame) -> DataFrame:
 def add_hotspot_distances(df: DataFrame) -> DataFrame:
     """Distance to the nearest active zone and to the weighted centre of recent activity."""
     base = materialize(df)
-    here = F.col("zone_lat").alias("lat"), F.col("zone_lng").alias("lng")
     counts = {"3h": "zone_event_count_3h", "24h": "zone_event_count_24h"}
-    # An active zone is its own nearest: only quiet rows need the search, and both
-    # windows go through it together.
-    tagged = lambda sql: base.select(
+    at = {"zone_lat": "lat", "zone_lng": "lng"}
+    # Zones stay where they are: their near neighbours are listed once, and active zones report to those that list them.
+    # An active zone is its own nearest. Only quiet rows whose lists hold no active zone are searched for.
+    places = materialize(
+        base.select(*at).dropna().distinct().withColumnsRenamed(at).withColumn("place", F.monotonically_increasing_id())
+    )
+    close = materialize(close_places(places))
+    spots = (
+        base.join(places.withColumnsRenamed({v: k for k, v in at.items()}), list(at))
+        .groupBy("target_time", "place", *[F.col(k).alias(v) for k, v in at.items()])
+        .agg(*[F.max(c).alias(c) for c in counts.values()])
+    )
+    told = (
+        spots.filter(" OR ".join(f"{c} > 0" for c in counts.values()))
+        .select("target_time", F.col("place").alias("near"), *counts.values())
+        .join(close, "near")
+        .groupBy("target_time", "place")
+        .agg(*[F.min(F.when(F.col(c) > 0, F.col("distance_m"))).alias(f"_d{w}") for w, c in counts.items()])
+    )
+    known = materialize(spots.join(told, ["target_time", "place"], "left"))
+    tagged = lambda test: known.select(
         "target_time",
-        "zone_id",
-        *here,
-        F.explode(
-            F.array_compact(
-                F.array(*[F.when(F.expr(sql.format(c)), F.lit(w)) for w, c in counts.items()])
-            )
-        ).alias("window"),
+        "place",
+        *at.values(),
+        F.explode(F.array_compact(F.array(*[F.when(F.expr(test.format(c=c, w=w)), F.lit(w)) for w, c in counts.items()]))).alias("window"),
     )
+    lost = tagged("{c} <= 0 AND _d{w} IS NULL")
+    asked = lost.select("target_time", "window").distinct()
     found = nearest_join(
-        tagged("{} <= 0"),
-        tagged("{} > 0"),
-        ["target_time", "window"],
-        ["zone_id"],
+        lost, tagged("{c} > 0").join(asked, ["target_time", "window"], "left_semi"), ["target_time", "window"], ["place"]
+    )
+    wide = found.groupBy("target_time", "place").agg(
+        *[F.max(F.when(F.col("window") == w, F.col("distance_m"))).alias(f"_f{w}") for w in counts]
     )
-    wide = found.groupBy("target_time", "zone_id").agg(
-        *[F.max(F.when(F.col("window") == w, F.round("distance_m", 3))).alias(f"_d{w}") for w in counts]
+    every = known.join(wide, ["target_time", "place"], "left").select(
+        "target_time",
+        *[F.col(v).alias(k) for k, v in at.items()],
+        *[
+            F.when(F.col(c) > 0, F.lit(0.0)).otherwise(F.round(F.coalesce(f"_d{w}", f"_f{w}"), 3)).alias(f"_d{w}")
+            for w, c in counts.items()
+        ],
     )
-    out = base.join(wide, ["target_time", "zone_id"], "left").withColumns(
+    out = base.join(every, ["target_time", *at], "left").withColumns(
         {
             f"distance_to_nearest_event_{w}_m": F.when(F.col(c) > 0, F.lit(0.0)).otherwise(
                 F.coalesce(f"_d{w}", F.lit(MISSING_DISTANCE_M))
