@@ -623,6 +623,46 @@ O["x10_cell_label"] = q(
     "cu",
     "ev",
 )
+_AT = "TIMESTAMP '2024-01-21 10:20:30'"
+_DAYS = f"greatest(1,(epoch_us({_AT})-epoch_us(min(ts)))//86400000000)"
+cte("pa", f"SELECT *, ts>={_AT}-INTERVAL 24 HOUR late, hour(ts)=hour({_AT}) same FROM ev WHERE ts<{_AT}", "ev")
+cte(
+    "pac",
+    f"""SELECT grid_cell, count(*) c, count(*) FILTER (ts>={_AT}-INTERVAL 168 HOUR) w, count(*) FILTER (late) d1, max(ts) seen,
+ sum(total_upvotes) u, sum(total_downvotes) v, sum(report_count) r FROM pa GROUP BY 1""",
+    "pa",
+)
+cte(
+    "pad",
+    f"""SELECT district, count(*) FILTER (late) d, count(DISTINCT grid_cell) FILTER (late) a, count(*)/CAST({_DAYS} AS DOUBLE) rate,
+ count(*) FILTER (same)/CAST({_DAYS} AS DOUBLE) hrate FROM pa GROUP BY 1""",
+    "pa",
+)
+cte(
+    "pas",
+    """SELECT grid_cell, bool_or(day=prev+1) s FROM (SELECT grid_cell, day, lag(day) OVER (PARTITION BY grid_cell ORDER BY day) prev
+ FROM (SELECT DISTINCT grid_cell, CAST(ts AS DATE) AS day FROM pa)) GROUP BY 1""",
+    "pa",
+)
+cte("paij", f"SELECT grid_cell, d1, {_I.format(c='grid_cell')} i, {_J.format(c='grid_cell')} j FROM cu LEFT JOIN pac USING (grid_cell)", "cu", "pac")
+O["x_cell_features_at"] = q(
+    f"""SELECT cu.grid_cell, cu.district, cu.region, {_AT} target_time, coalesce(c,0) cell_historical_freq, coalesce(w,0) cell_7d_count,
+ coalesce(d1,0) cell_24h_count, coalesce(round((epoch_us({_AT})-epoch_us(seen))/1e6/3600e0,6),9999e0) cell_last_seen_hours_ago,
+ round(CASE WHEN u+v>0 THEN CAST(u AS DOUBLE)/(u+v) ELSE 0.5e0 END,6) upvote_ratio, round(coalesce(CAST(r AS DOUBLE)/c,0e0),6) avg_report_count,
+ round((SELECT count(*) FILTER (same)/CAST({_DAYS} AS DOUBLE) FROM pa),6) hour_historical_rate,
+ round((SELECT count(*) FILTER (same AND {dow('ts')}={dow(_AT)})/CAST(greatest(1,{_DAYS}//7) AS DOUBLE) FROM pa),6) dow_hour_rate,
+ CAST(coalesce((SELECT sum(o.d1) FROM paij o JOIN paij m ON abs(o.i-m.i)<=1 AND abs(o.j-m.j)<=1 AND o.grid_cell<>m.grid_cell WHERE m.grid_cell=cu.grid_cell),0) AS BIGINT) neighbor_24h_count,
+ coalesce(d,0) district_24h_count, coalesce(a,0) district_active_cells, round(coalesce(rate,0e0),6) district_historical_rate,
+ round(coalesce(hrate,0e0),6) district_hour_rate, CAST(coalesce(s,false) AS INTEGER) streak_active, CAST(hour({_AT}) AS INTEGER) AS hour,
+ CAST({dow(_AT)} AS INTEGER) day_of_week, CAST({dow(_AT)}>=5 AS INTEGER) is_weekend, CAST(month({_AT}) AS INTEGER) AS month
+ FROM cu LEFT JOIN pac USING (grid_cell) LEFT JOIN pad ON pad.district=cu.district LEFT JOIN pas ON pas.grid_cell=cu.grid_cell""",
+    "cu",
+    "pa",
+    "pac",
+    "pad",
+    "pas",
+    "paij",
+)
 
 # --- zone features -------------------------------------------------------------------------
 
