@@ -1376,10 +1376,18 @@ cte(
 )
 O["y5_prediction_rows"] = q("SELECT * FROM pub", "pub")
 O["y5_prediction_rows_preferred"] = q("SELECT * FROM pub WHERE rank IS NOT NULL", "pub")
-O["y6_latest_per_zone"] = q(
+cte(
+    "newest",
     """SELECT zone_id, target_time, score, probability, rank FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY target_time DESC, coalesce(rank,1000000000), score DESC) rn FROM pub) WHERE rn=1""",
     "pub",
 )
+O["y6_latest_per_zone"] = q("SELECT * FROM newest", "newest")
+O["y7_zone_overlay"] = q(
+    """SELECT zone_id, district, event_count, score, probability, 'Feature' AS type, 'Polygon' kind, 7::BIGINT points, true closed
+ FROM mz LEFT JOIN newest USING (zone_id) WHERE region='Kowloon West' AND event_count>=1""",
+    "mz",
+    "newest",
+)
 for _n, _family in (("", "single_stage"), ("_preferred", "two_stage")):
     O[f"y8_model_metrics{_n}"] = q(
         f"SELECT fold*30 horizon_minutes, model chosen_model, round(precision_at_20,6) median_precision_at_20, '{_family}' model_family FROM fs WHERE model='a'", "fs"

@@ -1339,7 +1339,22 @@ def y7_zone_overlay(spark, sf):
     got = serving.zone_overlay(
         _merged(spark, sf), I.geometry(spark, sf), _published(spark, sf), region="Kowloon West", min_events=1
     )
-    return archive.geojson_features(got, "ring", ["zone_id", "district", "event_count", "score", "probability"])
+    feats = archive.geojson_features(got, "ring", ["zone_id", "district", "event_count", "score", "probability"])
+    shape = (
+        "type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, "
+        "properties struct<zone_id: string, district: string, event_count: bigint, score: double, probability: double>"
+    )
+    ring = F.col("f.geometry.coordinates")[0]
+    f = feats.select(F.from_json("value", shape).alias("f"))
+    return r6(
+        f.select(
+            "f.properties.*",
+            F.col("f.type").alias("type"),
+            F.col("f.geometry.type").alias("kind"),
+            F.size(ring).cast("bigint").alias("points"),
+            (ring[0] == ring[6]).alias("closed"),
+        )
+    )
 
 
 def _model_rows(spark, sf) -> DataFrame:
